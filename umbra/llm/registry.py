@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from umbra.llm import html_text, line_dedup, mixing, url_filter
+from umbra.llm import html_text, line_dedup, mixing, quality, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_line_dedup": line_dedup.query,
+        "op4_toxicity": toxicity.query,
+        "op5_quality": quality.query,
         "op6_url_filter": url_filter.query,
         "op7_mixing": mixing.query,
         "op9_html_text": html_text.query,
