@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,17 +28,57 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` of the session names it; where none is set, as in tests, the
-    warehouse folder is used, which is shared as well.
+    Only where none is set, as in tests, a folder in the warehouse is used, which is shared as well.
+    """
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_umbra"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write a table into the shared folder and read it again.
+
+    Unlike a checkpoint this computes the rows once. The files go when the driver ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/umbra-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of (a, b) pairs of longs: node and label, the smallest node of its component.
+
+    Every round hooks each node to its smallest neighbour, contracts the pairs and forgets doubles; the
+    rounds grow with the logarithm of the longest path. Rounds are written to the shared folder.
+    Null ends and loops are ignored.
+    """
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a != b").distinct()
+    pairs = written(pairs)
+    labels = None
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
+        if labels is None:
+            labels = up
+        else:
+            step = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            labels = written(labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        left = up.select(F.col("node").alias("a"), F.col("label").alias("pa"))
+        right = up.select(F.col("node").alias("b"), F.col("label").alias("pb"))
+        pairs = written(
+            pairs.join(left, "a").join(right, "b").where("pa != pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct()
+        )
+        if pairs.isEmpty():
+            return labels
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from umbra.llm.common import is_held_out, small_batches
 
-#: Rows that one task may hold as counts before it hands them on.
-FLUSH = 200_000
-
 
 def examples(docs: DataFrame, labels: DataFrame, label: str, most: int, terms: Callable[[str], Counter]) -> tuple[list, dict]:
     """At most ``most`` labelled documents, half of them of each class, with their term counts.
@@ -47,27 +44,57 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, most: int, terms: C
     return pairs, counts
 
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[str, int], terms: Callable[[str], Counter]) -> tuple[int, np.ndarray]:
+class KnownTerms:
+    """Counts of the terms of a vocabulary in a text; what each token stands for is kept, up to a bound."""
+
+    KEPT = 200_000
+
+    def __init__(self, vocabulary: list[str], tokens: Callable[[str], list[str]], parts: Callable[[str], list[str]], extras: Callable[[list, Counter], dict] | None = None) -> None:
+        self.ids = {t: i for i, t in enumerate(vocabulary)}
+        self.tokens, self.parts, self.extras = tokens, parts, extras
+        self.kept: dict[str, tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"kept": {}}
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        tokens = self.tokens(text) if text else []
+        bag, kept, out = Counter(tokens), self.kept, {}
+        if len(kept) > self.KEPT:
+            kept.clear()
+        for token, n in bag.items():
+            own = kept.get(token)
+            if own is None:
+                own = kept[token] = tuple(i for t in self.parts(token) if (i := self.ids.get(t)) is not None)
+            for i in own:
+                out[i] = out.get(i, 0) + n
+        if self.extras:
+            for t, n in self.extras(tokens, bag).items():
+                if t in self.ids:
+                    out[self.ids[t]] = n
+        return out
+
+
+def document_frequencies(docs: DataFrame, known: KnownTerms) -> tuple[int, np.ndarray]:
     """Number of documents, and of documents that hold each term, over the whole corpus.
 
     Every task counts for itself; at most one row for each term and task is shuffled.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        total, seen = 0, np.zeros(len(known), dtype=np.int64)
+        terms = shared.value
+        total, seen = 0, np.zeros(len(terms.ids), dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
                 total += 1
-                ids = [known[t] for t in terms(text) if t in known]
-                seen[ids] += 1
+                seen[list(terms.counts(text))] += 1
         held = np.flatnonzero(seen)
         yield pd.DataFrame({"t": np.append(held, -1), "n": np.append(seen[held], total)})
 
     rows = docs.select("text").mapInPandas(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
-    out, total = np.zeros(len(vocabulary)), 0
+    out, total = np.zeros(len(known.ids)), 0
     for r in rows:
         if r["t"] < 0:
             total = r["n"]

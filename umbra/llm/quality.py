@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import is_held_out, small_batches, table
-from umbra.llm.labelled import calibrated, class_weights, document_frequencies, examples, isotonic
+from umbra.llm.labelled import KnownTerms, calibrated, class_weights, document_frequencies, examples, isotonic
 
 #: Labelled documents that are fitted on, half of each class; their vectors are broadcast.
 MAX_EXAMPLES = 4000
@@ -24,49 +26,58 @@ BLOCK = 512
 SHARPNESS = 8
 
 _RUNS = ((re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "X"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "C"), (re.compile(r"[^\W\d_A-ZÀ-ÖØ-ÞXC]+"), "x"), (re.compile(r"\d+"), "9"))
-_SHAPES: dict[str, str] = {}
 
 
 def shape_of(token: str) -> str:
     """Form of a token: X for a run of capitals, C for one, x for small letters, 9 for digits, marks as they are."""
-    found = _SHAPES.get(token)
-    if found is None:
-        if len(_SHAPES) > 100_000:
-            _SHAPES.clear()
-        found = token[:64]
-        for pattern, letter in _RUNS:
-            found = pattern.sub(letter, found)
-        found = _SHAPES[token] = "~" + found[:12]
-    return found
+    if token.isalpha():
+        if token.islower():
+            return "~x"
+        if token[0].isupper() and (len(token) == 1 or token[1:].islower()):
+            return "~Cx" if len(token) > 1 else "~C"
+    found = token[:64]
+    for pattern, letter in _RUNS:
+        found = pattern.sub(letter, found)
+    return "~" + found[:12]
+
+
+def parts_of(token: str) -> list[str]:
+    """The lower-case word and its form."""
+    return [token.lower()[:64], shape_of(token)]
+
+
+def extras_of(tokens: list[str], bag: Counter) -> dict[str, int]:
+    """Terms for repetition and size of a whole text."""
+    n = len(tokens)
+    repeated = sum(map(eq, tokens, islice(tokens, 1, None)))
+    shares = (("again", repeated), ("distinct", len(bag)), ("commonest", max(bag.values(), default=0)))
+    out = {f"~{name}:{min(9, 10 * x // max(1, n))}": 4 for name, x in shares}
+    out[f"~size:{min(10, n.bit_length())}"] = 4
+    if repeated:
+        out["~again"] = repeated
+    return out
 
 
 def terms_of(text: str | None) -> Counter:
     """Lower-case words, forms of tokens, repetitions and size classes of a whole text, with their counts."""
     tokens = text.split() if text else []
-    out = Counter(tokens)
-    words: Counter = Counter()
-    for token, n in out.items():
-        words[token.lower()[:64]] += n
-        words[shape_of(token)] += n
-    n = len(tokens)
-    repeated = sum(a == b for a, b in zip(tokens, tokens[1:]))
-    if repeated:
-        words["~again"] = repeated
-    for name, share in (("again", repeated / n if n else 0), ("distinct", len(out) / n if n else 0), ("commonest", max(out.values()) / n if n else 0)):
-        words[f"~{name}:{min(9, int(share * 10))}"] = 4
-    words[f"~size:{min(10, n.bit_length())}"] = 4
-    return words
+    bag, out = Counter(tokens), Counter()
+    for token, n in bag.items():
+        for part in parts_of(token):
+            out[part] += n
+    out.update(extras_of(tokens, bag))
+    return out
 
 
 class QualityModel:
     """TF-IDF weights, term directions, example vectors and the calibration of their votes."""
 
-    def __init__(self, pairs: list, counts: dict, terms: list[str], n_docs: int, df: np.ndarray, dimensions: int = DIMENSIONS) -> None:
-        self.known = {t: i for i, t in enumerate(terms)}
+    def __init__(self, pairs: list, counts: dict, known: KnownTerms, n_docs: int, df: np.ndarray, dimensions: int = DIMENSIONS) -> None:
+        self.known = known
         self.idf = np.log((1 + n_docs) / (1 + df)) + 1
-        matrix = np.zeros((len(pairs), len(terms)), dtype=np.float32)
+        matrix = np.zeros((len(pairs), len(known.ids)), dtype=np.float32)
         for row, (_, bag) in enumerate(pairs):
-            ids, weights = self.weigh(bag)
+            ids, weights = self.weigh({known.ids[t]: n for t, n in bag.items() if t in known.ids})
             matrix[row, ids] = weights
         self.directions = _right_vectors(matrix, dimensions)
         self.points = _unit(matrix @ self.directions)
@@ -76,10 +87,9 @@ class QualityModel:
         raw = np.concatenate([self.votes(self.points[i : i + BLOCK], own=i) for i in range(0, len(pairs), BLOCK)] or [np.empty(0)])
         self.steps = isotonic(raw, self.y, self.weight)
 
-    def weigh(self, bag: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(self.known[t], n) for t, n in bag.items() if t in self.known]
-        ids = np.array([i for i, _ in pairs], dtype=np.int64)
-        x = (1 + np.log(np.array([n for _, n in pairs], dtype=float))) * self.idf[ids] if pairs else np.empty(0)
+    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
+        x = (1 + np.log(np.fromiter(counts.values(), dtype=float, count=len(counts)))) * self.idf[ids]
         norm = np.sqrt((x * x).sum())
         return ids, (x / norm if norm else x).astype(np.float32)
 
@@ -98,7 +108,7 @@ class QualityModel:
     def score(self, texts: list[str | None]) -> np.ndarray:
         points = np.zeros((len(texts), self.directions.shape[1]), dtype=np.float32)
         for row, text in enumerate(texts):
-            ids, weights = self.weigh(terms_of(text))
+            ids, weights = self.weigh(self.known.counts(text))
             if len(ids):
                 points[row] = weights @ self.directions[ids]
         return np.clip(calibrated(self.votes(_unit(points)), self.steps), 0.0, 1.0)
@@ -129,8 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, la
     for _, bag in pairs:
         df.update(bag.keys())
     terms = [t for t, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS] if n > 2]
-    n, frequencies = document_frequencies(docs, {t: i for i, t in enumerate(terms)}, terms_of)
-    return QualityModel(pairs, counts, terms, n, frequencies)
+    known = KnownTerms(terms, str.split, parts_of, extras_of)
+    n, frequencies = document_frequencies(docs, known)
+    return QualityModel(pairs, counts, known, n, frequencies)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from umbra.llm import html_text, line_dedup, mixing, quality, toxicity, url_filter
+from umbra.llm import html_text, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_line_dedup": line_dedup.query,
+        "op3_ngram_join": ngram_join.query,
         "op4_toxicity": toxicity.query,
         "op5_quality": quality.query,
         "op6_url_filter": url_filter.query,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op6_url_filter": url_filter.ORACLE}

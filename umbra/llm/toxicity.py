@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import is_held_out, small_batches, table, words_of
-from umbra.llm.labelled import calibrated, class_weights, document_frequencies, examples, isotonic
+from umbra.llm.labelled import KnownTerms, calibrated, class_weights, document_frequencies, examples, isotonic
 
 #: Labelled documents that are fitted on, half of each class.
 MAX_EXAMPLES = 6000
@@ -25,13 +25,17 @@ BLOCK = 64
 PREFIXES = (5, 7)
 
 
+def parts_of(word: str) -> list[str]:
+    """A word and its beginnings."""
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+
+
 def terms_of(text: str | None) -> Counter:
     """Words and word beginnings of a whole text, with their counts."""
-    out = Counter(words_of(text))
-    for word, n in list(out.items()):
-        for k in PREFIXES:
-            if len(word) > k:
-                out[word[:k] + "*"] += n
+    out: Counter = Counter()
+    for word, n in Counter(words_of(text)).items():
+        for part in parts_of(word):
+            out[part] += n
     return out
 
 
@@ -109,12 +113,12 @@ class BlockMaxIndex:
 class ToxicityModel:
     """Term space, index, votes and their calibration; a plain object that is broadcast."""
 
-    def __init__(self, pairs: list, counts: dict, terms: list[str], n_docs: int, df: np.ndarray, k: int = NEIGHBOURS) -> None:
+    def __init__(self, pairs: list, counts: dict, known: KnownTerms, n_docs: int, df: np.ndarray, k: int = NEIGHBOURS) -> None:
         self.k = k
-        self.known = {t: i for i, t in enumerate(terms)}
-        self.terms = terms
+        self.known = known
+        self.terms = terms = list(known.ids)
         self.idf = [math.log((1 + n_docs) / (1 + d)) + 1 for d in df]
-        rows = sorted(((sorted(self.vector(bag).items()), y) for y, bag in pairs), key=lambda r: [(t, -w) for t, w in r[0]])
+        rows = sorted(((sorted(self.vector({known.ids[t]: n for t, n in bag.items() if t in known.ids}).items()), y) for y, bag in pairs), key=lambda r: [(t, -w) for t, w in r[0]])
         self.y = np.array([y for _, y in rows], dtype=float)
         vectors = [dict(v) for v, _ in rows]
         self.index = BlockMaxIndex(vectors, len(terms))
@@ -133,8 +137,8 @@ class ToxicityModel:
         unit = w.mean() if len(w) else 1.0
         return float(((w * y)[which].sum() + unit * prior) / (total + unit))
 
-    def vector(self, bag: dict[str, int]) -> dict[int, float]:
-        raw = {self.known[t]: (1 + math.log(n)) * self.idf[self.known[t]] for t, n in bag.items() if t in self.known}
+    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
         norm = math.sqrt(math.fsum(x * x for x in raw.values()))
         return {t: x / norm for t, x in raw.items()}
 
@@ -148,7 +152,7 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> tuple[float, list[float], list[int], list[str]]:
         """Probability, the neighbours' cosines and labels, and the terms that the text shares with the space."""
-        vector = self.vector(terms_of(text))
+        vector = self.vector(self.known.counts(text))
         ids, cosines = self.index.nearest(vector, self.k)
         raw = self._vote(ids, cosines)
         p = self.none if math.isnan(raw) else float(calibrated(np.array([raw]), self.steps)[0])
@@ -159,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, la
     """Examples from the rows that may be learnt from; document frequencies from all documents."""
     pairs, counts = examples(docs, labels, label, max_examples, terms_of)
     terms = select_terms(pairs)
-    n, df = document_frequencies(docs, {t: i for i, t in enumerate(terms)}, terms_of)
-    return ToxicityModel(pairs, counts, terms, n, df)
+    known = KnownTerms(terms, words_of, parts_of)
+    n, df = document_frequencies(docs, known)
+    return ToxicityModel(pairs, counts, known, n, df)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
