@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from umbra.llm import html_text, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
+from umbra.llm import html_text, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.query,
         "op2_line_dedup": line_dedup.query,
         "op3_ngram_join": ngram_join.query,
         "op4_toxicity": toxicity.query,
