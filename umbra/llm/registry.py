@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from umbra.llm import html_text, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
+from umbra.llm import ann, html_text, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality": quality.query,
         "op6_url_filter": url_filter.query,
         "op7_mixing": mixing.query,
+        "op8_ann": ann.query,
         "op9_html_text": html_text.query,
     }
 
