@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from umbra.llm import ann, html_text, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
+from umbra.llm import ann, decontaminate, html_text, line_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_mixing": mixing.query,
         "op8_ann": ann.query,
         "op9_html_text": html_text.query,
+        "op10_decontaminate": decontaminate.query,
     }
 
 
