@@ -1,0 +1,51 @@
+"""All matches of a pattern with their places, in SQL expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Characters before a match that rules may look at.
+TAIL = 60
+
+
+class Match:
+    """What a rule sees of one match: its start, text, groups, the text before it, and that since the last match."""
+
+    def __init__(self, start: Column, text: Column, groups: list[Column], before: Column, gap: Column) -> None:
+        self.start, self.text, self.groups, self.before, self.gap = start, text, groups, before, gap
+
+
+def _with_group(g: int) -> Callable[[Column, Column], Column]:
+    """Add a group's text to what is known of a match."""
+    return lambda z, v: F.struct(z["p"].alias("p"), z["m"].alias("m"), *[z[f"g{k}"].alias(f"g{k}") for k in range(1, g)], v.alias(f"g{g}"))
+
+
+def scan(text: Column, pattern: str, kind: str, build: Callable[[Match], Column], groups: int = 0, gate: str | None = None) -> Column:
+    """The arrays of type ``kind`` that ``build`` makes of each match, joined.
+
+    The text is cut at the matches and the pieces' lengths are added up in code points (0-based), so a
+    literal that also stands where the pattern rejected it can't be mistaken for the match. ``gate`` is
+    a cheap pattern without which the costly one isn't tried.
+    """
+    some = F.when(text.rlike(gate), text).otherwise(F.lit("")) if gate else F.coalesce(text, F.lit(""))
+    zipped = F.zip_with(F.split(some, pattern, -1), F.regexp_extract_all(some, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    for g in range(1, groups + 1):
+        zipped = F.zip_with(zipped, F.regexp_extract_all(some, F.lit(pattern), F.lit(g)), _with_group(g))
+
+    def step(acc: Column, z: Column) -> Column:
+        piece = F.coalesce(z["p"], F.lit(""))
+        start = acc["at"] + F.char_length(piece)
+        before = F.substring(F.concat(acc["tail"], piece), -TAIL, TAIL)
+        match = Match(start, z["m"], [z[f"g{g}"] for g in range(1, groups + 1)], before, piece)
+        grown = F.struct(
+            (start + F.char_length(z["m"])).cast("int").alias("at"),
+            F.substring(F.concat(before, z["m"]), -TAIL, TAIL).alias("tail"),
+            F.concat(acc["out"], build(match).cast(kind)).alias("out"),
+        )
+        return F.when(z["m"].isNull(), acc).otherwise(grown)
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(kind).alias("out"))
+    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
