@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from umbra.llm.common import small_batches, table
+from umbra.llm.common import python_ready, table
 
 #: Vectors that the two codebooks are fitted on.
 SAMPLE = 20_000
@@ -100,7 +100,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, centroids:
     smaller vec_id. Fewer candidates than k give fewer rows; no usable vector gives none.
     """
     spark = vectors.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
     common = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"

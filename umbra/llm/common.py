@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import json
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.functions.shipping import ship
+from umbra.functions.staging import written
+
 WORD = re.compile(r"\w+")
 
 #: Rows that one Arrow batch carries to Python: bounds a worker's memory when texts are long.
@@ -21,39 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session; a smaller setting stays."""
+def python_ready(spark: SparkSession) -> None:
+    """Ready a session for Python operators: ship this package and bound the Arrow batches; a smaller setting stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where none is set, as in tests, a folder in the warehouse is used, which is shared as well.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_umbra"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write a table into the shared folder and read it again.
-
-    Unlike a checkpoint this computes the rows once. The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/umbra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) pairs of longs: node and label, the smallest node of its component.
 

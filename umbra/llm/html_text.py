@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm.common import small_batches, table
+from umbra.llm.common import python_ready, table
 
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*+)>")
@@ -341,7 +341,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     comments and pages cut short are read as browsers do; repeated rows stay repeated; other columns
     of the input are ignored.
     """
-    small_batches(pages.sparkSession)
+    python_ready(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

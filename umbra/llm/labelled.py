@@ -10,77 +10,127 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import is_held_out, small_batches
+from umbra.functions.staging import written
+from umbra.llm.common import is_held_out, python_ready
 
 
-def examples(docs: DataFrame, labels: DataFrame, label: str, most: int, terms: Callable[[str], Counter]) -> tuple[list, dict]:
-    """At most ``most`` labelled documents, half of them of each class, with their term counts.
+def examples(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dict]:
+    """At most ``most`` labelled documents (id, y, text), half of them of each class, and the labelled rows of each class.
 
     Only rows outside the held-out fifth are looked at. The rows with the smallest hashes of their ids
-    are taken, so the choice doesn't depend on partitions. Returns (label, counts) pairs in an order
-    that depends on the texts alone, and the number of labelled rows of each class.
+    are taken, so the choice doesn't depend on partitions. The rows are written to the shared folder.
     """
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     usable = (
-        labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
-        .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~is_held_out(F.col("_id")))
-        .groupBy("_id")
-        .agg(F.max("_y").alias("_y"))
+        labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
+        .where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out(F.col("id")))
+        .groupBy("id")
+        .agg(F.max("y").alias("y"))
     )
-    counts = {r["_y"]: r["n"] for r in usable.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    parts = [usable.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most // 2) for y in (0, 1)]
+    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    parts = [usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most // 2) for y in (0, 1)]
     # at most `most` ids of 8 bytes: the bound is the parameter
-    picked = parts[0].unionByName(parts[1])
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(picked), "_id")
+    picked = F.broadcast(parts[0].unionByName(parts[1]))
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(picked, "id")
+    return written(rows.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))), counts
+
+
+def class_frequencies(rows: DataFrame, terms: Callable[[str], Counter]) -> DataFrame:
+    """(term, n0, n1): how many examples of either class hold a term."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bags = [terms(x) for x in batch["text"]]
-            yield pd.DataFrame({"id": batch["_id"], "y": batch["_y"], "terms": [list(b) for b in bags], "n": [list(b.values()) for b in bags]})
+            seen = (Counter(), Counter())
+            for y, text in zip(batch["y"], batch["text"], strict=True):
+                seen[y].update(terms(text).keys())
+            names = list(seen[0].keys() | seen[1].keys())
+            yield pd.DataFrame({"term": names, "n0": [seen[0][t] for t in names], "n1": [seen[1][t] for t in names]})
+
+    found = rows.select("y", "text").mapInPandas(count, "term string, n0 long, n1 long")
+    return found.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def term_counts(rows: DataFrame, known: KnownTerms) -> list[tuple[int, dict[int, int]]]:
+    """(label, counts of the known terms) of the examples, in an order that depends on their texts alone."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
-    found = rows.mapInPandas(count, "id long, y int, terms array<string>, n array<long>").dropDuplicates(["id"]).collect()
-    pairs = [(int(r["y"]), dict(zip(r["terms"], r["n"], strict=True))) for r in found]
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bags = [shared.value.counts(x) for x in batch["text"]]
+            yield pd.DataFrame({"y": batch["y"], "t": [list(b) for b in bags], "n": [list(b.values()) for b in bags]})
+
+    found = rows.select("y", "text").mapInPandas(count, "y int, t array<int>, n array<int>").toLocalIterator()
+    pairs = [(r["y"], dict(zip(r["t"], r["n"], strict=True))) for r in found]
     pairs.sort(key=lambda p: (sorted(p[1].items())[:40], p[0]))
-    return pairs, counts
+    return pairs
 
 
 class KnownTerms:
-    """Counts of the terms of a vocabulary in a text; what each token stands for is kept, up to a bound."""
+    """Counts of the terms of a vocabulary in a text.
+
+    What each token stands for is kept, up to a bound, as the number of a group of terms; a text's
+    tokens are counted by group, and there are few of these.
+    """
 
     KEPT = 200_000
 
     def __init__(self, vocabulary: list[str], tokens: Callable[[str], list[str]], parts: Callable[[str], list[str]], extras: Callable[[list, Counter], dict] | None = None) -> None:
         self.ids = {t: i for i, t in enumerate(vocabulary)}
         self.tokens, self.parts, self.extras = tokens, parts, extras
-        self.kept: dict[str, tuple] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.groups: list[tuple] = []
+        self.numbers: dict[tuple, int] = {}
+        self.kept = _Kept(self)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"kept": {}}
+        return {k: self.__dict__[k] for k in ("ids", "tokens", "parts", "extras")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def group(self, token: str) -> int:
+        own = tuple(i for t in self.parts(token) if (i := self.ids.get(t)) is not None)
+        if own not in self.numbers:
+            self.numbers[own] = len(self.groups)
+            self.groups.append(own)
+        return self.numbers[own]
 
     def counts(self, text: str | None) -> dict[int, int]:
         tokens = self.tokens(text) if text else []
-        bag, kept, out = Counter(tokens), self.kept, {}
-        if len(kept) > self.KEPT:
-            kept.clear()
-        for token, n in bag.items():
-            own = kept.get(token)
-            if own is None:
-                own = kept[token] = tuple(i for t in self.parts(token) if (i := self.ids.get(t)) is not None)
-            for i in own:
+        if len(self.kept) > self.KEPT:
+            self._forget()
+        out: dict[int, int] = {}
+        for number, n in Counter(map(self.kept.__getitem__, tokens)).items():
+            for i in self.groups[number]:
                 out[i] = out.get(i, 0) + n
         if self.extras:
-            for t, n in self.extras(tokens, bag).items():
+            for t, n in self.extras(tokens, Counter(tokens)).items():
                 if t in self.ids:
                     out[self.ids[t]] = n
         return out
 
 
+class _Kept(dict):
+    """Group numbers by token; a new token is looked up once."""
+
+    def __init__(self, terms: KnownTerms) -> None:
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = self.terms.group(token)
+        return number
+
+
 def document_frequencies(docs: DataFrame, known: KnownTerms) -> tuple[int, np.ndarray]:
     """Number of documents, and of documents that hold each term, over the whole corpus.
 
     Every task counts for itself; at most one row for each term and task is shuffled.
     """
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import components, small_batches, table, words_of, written
+from umbra.functions.staging import written
+from umbra.llm.common import components, python_ready, table, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 #: Share of the pairs at exactly the wanted similarity that must meet in a band.
@@ -89,7 +90,7 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int, seed: int = 3) -> n
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, a 128-bit digest of the n-gram set, its size, the text's bytes and the band keys."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

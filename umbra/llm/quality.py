@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import is_held_out, small_batches, table
-from umbra.llm.labelled import KnownTerms, calibrated, class_weights, document_frequencies, examples, isotonic
+from umbra.llm.common import is_held_out, python_ready, table
+from umbra.llm.labelled import KnownTerms, calibrated, class_frequencies, class_weights, document_frequencies, examples, isotonic, term_counts
 
 #: Labelled documents that are fitted on, half of each class; their vectors are broadcast.
 MAX_EXAMPLES = 4000
@@ -77,7 +77,7 @@ class QualityModel:
         self.idf = np.log((1 + n_docs) / (1 + df)) + 1
         matrix = np.zeros((len(pairs), len(known.ids)), dtype=np.float32)
         for row, (_, bag) in enumerate(pairs):
-            ids, weights = self.weigh({known.ids[t]: n for t, n in bag.items() if t in known.ids})
+            ids, weights = self.weigh(bag)
             matrix[row, ids] = weights
         self.directions = _right_vectors(matrix, dimensions)
         self.points = _unit(matrix @ self.directions)
@@ -134,14 +134,12 @@ def _right_vectors(matrix: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, label: str = "quality") -> QualityModel:
     """Examples from the rows that may be learnt from; document frequencies from all documents."""
-    pairs, counts = examples(docs, labels, label, max_examples, terms_of)
-    df: Counter = Counter()
-    for _, bag in pairs:
-        df.update(bag.keys())
-    terms = [t for t, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS] if n > 2]
+    rows, counts = examples(docs, labels, label, max_examples)
+    held = class_frequencies(rows, terms_of).select("term", F.expr("n0 + n1").alias("n")).where("n > 2")
+    terms = [r["term"] for r in held.orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()]
     known = KnownTerms(terms, str.split, parts_of, extras_of)
     n, frequencies = document_frequencies(docs, known)
-    return QualityModel(pairs, counts, known, n, frequencies)
+    return QualityModel(term_counts(rows, known), counts, known, n, frequencies)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
@@ -151,7 +149,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
     example the score is 0.5; repeated rows stay repeated and score alike; ties at the last neighbour
     are broken by the order of the examples, which depends on their texts.
     """
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples and terms fitted on
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import is_held_out, small_batches, table, words_of
-from umbra.llm.labelled import KnownTerms, calibrated, class_weights, document_frequencies, examples, isotonic
+from umbra.llm.common import is_held_out, python_ready, table, words_of
+from umbra.llm.labelled import KnownTerms, calibrated, class_frequencies, class_weights, document_frequencies, examples, isotonic, term_counts
 
 #: Labelled documents that are fitted on, half of each class.
 MAX_EXAMPLES = 6000
@@ -39,22 +39,13 @@ def terms_of(text: str | None) -> Counter:
     return out
 
 
-def select_terms(pairs: list, most: int = MAX_TERMS) -> list[str]:
-    """Terms whose presence depends on the label, best first."""
-    df = [Counter(), Counter()]
-    for y, bag in pairs:
-        df[y].update(bag.keys())
-    n0, n1 = (sum(1 for y, _ in pairs if y == k) for k in (0, 1))
-    scored = []
-    for term in df[1]:  # evidence for the class: a term that is commoner there
-        a, b = df[1][term], df[0][term]
-        if a + b < LEAST_DF or a * n0 <= b * n1:
-            continue
-        below = (a + b) * (n0 + n1 - a - b) * n1 * n0
-        chi2 = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / below if below else 0.0
-        if chi2 >= LEAST_CHI2:
-            scored.append((-chi2, term))
-    return [t for _, t in sorted(scored)[:most]]
+def select_terms(frequencies: DataFrame, n0: int, n1: int, most: int = MAX_TERMS) -> list[str]:
+    """Terms that are commoner in class 1 than chance allows, best first; the statistics are summed up by Spark."""
+    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
+    below = (a + b) * (F.lit(float(n0 + n1)) - a - b) * float(n0) * float(n1)
+    chi2 = F.when(below > 0, (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / below).otherwise(0.0)
+    good = frequencies.where((a + b >= LEAST_DF) & (a * n0 > b * n1)).select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
+    return [r["term"] for r in good.orderBy(F.desc("chi2"), "term").limit(most).collect()]
 
 
 class BlockMaxIndex:
@@ -118,7 +109,7 @@ class ToxicityModel:
         self.known = known
         self.terms = terms = list(known.ids)
         self.idf = [math.log((1 + n_docs) / (1 + d)) + 1 for d in df]
-        rows = sorted(((sorted(self.vector({known.ids[t]: n for t, n in bag.items() if t in known.ids}).items()), y) for y, bag in pairs), key=lambda r: [(t, -w) for t, w in r[0]])
+        rows = sorted(((sorted(self.vector(bag).items()), y) for y, bag in pairs), key=lambda r: [(t, -w) for t, w in r[0]])
         self.y = np.array([y for _, y in rows], dtype=float)
         vectors = [dict(v) for v, _ in rows]
         self.index = BlockMaxIndex(vectors, len(terms))
@@ -161,11 +152,12 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, label: str = "toxic") -> ToxicityModel:
     """Examples from the rows that may be learnt from; document frequencies from all documents."""
-    pairs, counts = examples(docs, labels, label, max_examples, terms_of)
-    terms = select_terms(pairs)
+    rows, counts = examples(docs, labels, label, max_examples)
+    have = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    terms = select_terms(class_frequencies(rows, terms_of), have.get(0, 0), have.get(1, 0))
     known = KnownTerms(terms, words_of, parts_of)
     n, df = document_frequencies(docs, known)
-    return ToxicityModel(pairs, counts, known, n, df)
+    return ToxicityModel(term_counts(rows, known), counts, known, n, df)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -176,7 +168,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     no labelled example at all the score is 0.5; repeated rows stay repeated; ties between neighbours
     go by the order of the index, which depends on the examples' texts alone; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples and terms fitted on
     kind = dict(docs.dtypes)["doc_id"]
 
