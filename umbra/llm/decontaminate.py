@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import small_batches, table, words_of
+from umbra.llm.common import python_ready, table, words_of
 
 #: Words of a passage, and words from one passage's start to the next.
 PASSAGE, STRIDE = 32, 16
 DIMENSIONS, OVERSAMPLE = 128, 16
 #: Cosine in the latent space from which a passage is compared word by word.
-COSINE = 0.45
+COSINE = 0.5
 #: Passages of up to this many words are also held against half as long stretches of a text.
 SHORT = 20
 #: Texts whose passages are multiplied with the benchmark's at once.
@@ -73,9 +73,7 @@ class Benchmark:
 
     def ids(self, text: str | None) -> np.ndarray:
         """Numbers of a text's words in order, -1 for words that no benchmark item has."""
-        get = self.known.get
-        words = words_of(text)
-        return np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        return np.array(list(map(self.known.get, words_of(text), repeat(-1))), dtype=np.int64)
 
 
 def sketch(docs: DataFrame, benchmark: Benchmark, width: int, seed: int = 17) -> tuple[int, np.ndarray, np.ndarray]:
@@ -84,7 +82,7 @@ def sketch(docs: DataFrame, benchmark: Benchmark, width: int, seed: int = 17) ->
     G is the terms' Gram matrix over all passages of the corpus and W a random test matrix; every task
     adds up its own share of G W and hands on a row for each term that it met.
     """
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(benchmark)
     terms = len(benchmark.known)
 
@@ -212,7 +210,7 @@ class Detector:
         near = near[near >= 0].tolist()
         there = set(near)
         masks = self.benchmark.masks[p]
-        if sum(mask.bit_count() for word, mask in masks.items() if word in there) < PARAPHRASE * n:
+        if len(masks.keys() & there) + n - len(masks) < PARAPHRASE * n:
             return  # too few of the passage's words stand there in any order
         common = common_words(near, masks, n) / n
         if common < PARAPHRASE:
@@ -252,7 +250,7 @@ def find_leaks(docs: DataFrame, detector: Detector) -> DataFrame:
     Defined cases: null, empty and short texts hold nothing; repeated rows are reported each; an empty
     benchmark or table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(detector)  # bounded with the benchmark
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -267,7 +265,7 @@ def find_leaks(docs: DataFrame, detector: Detector) -> DataFrame:
 
 def is_leaky(docs: DataFrame, detector: Detector) -> DataFrame:
     """``doc`` (the input row as a struct) and ``leaky``, whether the text holds any benchmark item."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(detector)
 
     @F.pandas_udf("boolean")
