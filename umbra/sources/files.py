@@ -57,7 +57,7 @@ def wrapped_lines(paragraphs: list[str]) -> list[str]:
     out = []
     for paragraph in paragraphs:
         line = ""
-        for word in paragraph.split():
+        for word in paragraph.split(" "):
             if line and len(line) + 1 + len(word) > room:
                 out.append(line)
                 line = word
