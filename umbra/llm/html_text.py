@@ -282,7 +282,7 @@ def extract(source: str | None) -> str:
         up = parent[up]
     kept = {best}
     if parent[best] >= 0 and tags[best] not in ("html", "body", "#", "main"):
-        least = max(10.0, 0.2 * final[best])
+        least = max(min(10.0, 0.5 * final[best]), 0.2 * final[best])
         home = parent[best]
         for k in {_child_under(parent, at, home) for at, _, _ in blocks} - {best, None}:
             dense = links.get(k, 0) / chars[k]
