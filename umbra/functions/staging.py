@@ -33,3 +33,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table that lies in a few small files over all cores; larger tables are left as they are read.
+
+    A file of one row group is read by one task however many cores there are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores:
+        return df.repartition(cores)
+    return df

@@ -72,7 +72,7 @@ def touching(words: Column, start: Column, length: Column) -> Column:
 
 def to_findings(pages: DataFrame, threshold: float = 0.6, keep_text: bool = True) -> DataFrame:
     """One row for each kept span that touches a word; a span is bounded by its page, so words and spans meet without a join."""
-    rows = pages.select("doc_id", "page", "words", F.explode("spans").alias("s")).withColumn("hit", touching(F.col("words"), F.col("s.start"), F.col("s.length"))).where(F.size("hit") > 0)
+    rows = pages.select("doc_id", "page", "words", F.explode_outer("spans").alias("s")).where("s is not null").withColumn("hit", touching(F.col("words"), F.col("s.start"), F.col("s.length"))).where(F.size("hit") > 0)
     text = F.trim(F.translate("s.text", "\n", " "))
     return rows.select(
         "doc_id", "page", F.col("s.start").alias("start"), F.col("s.length").alias("length"), (text if keep_text else F.sha2(text.cast("binary"), 256)).alias("text"),
@@ -96,9 +96,10 @@ def detect(pages: DataFrame, options: Options | None = None) -> DataFrame:
         found = found if "words" in keep else found.drop("words")
     if o.propagate:  # pass 2 reads pass 1 several times, so it is written once
         found = with_pass2(written(found), o.lexicon)
-    found = found.withColumn("spans", resolve(without(F.col("spans"), o.disabled))).where(F.size("spans") > 0)
+    found = found.where(F.size("spans") > 0)
     if "words" not in keep:
         found = add_words(found)
+    found = found.withColumn("spans", resolve(without(F.col("spans"), o.disabled)))
     return to_findings(found, o.threshold, o.keep_text)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import rects as R
 from umbra.functions import text as T
-from umbra.functions.staging import written
+from umbra.functions.staging import spread, written
 from umbra.operators import findings as fi
 from umbra.operators import propagate, redact, review
 from umbra.operators.detect import detect_native
@@ -43,11 +43,12 @@ def _values(spark: SparkSession, rows: tuple, names: str) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.documents_as_pages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return files.documents_as_pages(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def _resolved(pages: DataFrame) -> DataFrame:
-    spans = pages.select("doc_id", "page", F.explode(resolve(F.col("spans"))).alias("s"))
+    # an outer explode: for an inner one Spark would compute the spans once more to filter out empty arrays
+    spans = pages.select("doc_id", "page", F.explode_outer(resolve(F.col("spans"))).alias("s")).where("s is not null")
     return spans.select("doc_id", "page", "s.*").withColumn("accepted", accepted(F.col("category"), F.col("confidence")))
 
 
