@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
-    detector = decontaminate.fit(docs, table(spark, sf_dir, "benchmark"))
+    detector, _ = decontaminate.fit(docs, table(spark, sf_dir, "benchmark"))
     return decontaminate.is_leaky(docs, detector).where("not leaky").select("doc.*")
 
 

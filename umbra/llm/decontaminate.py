@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.functions.staging import written
 from umbra.llm.common import python_ready, table, words_of
 
 #: Words of a passage, and words from one passage's start to the next.
@@ -17,8 +18,10 @@ PASSAGE, STRIDE = 32, 16
 DIMENSIONS, OVERSAMPLE = 128, 16
 #: Cosine in the latent space from which a passage is compared word by word.
 COSINE = 0.5
-#: Passages of up to this many words are also held against half as long stretches of a text.
+#: Passages of up to this many words are also held against stretches of two blocks, half a passage long.
 SHORT = 20
+#: Words of a block, of which a text's passages are put together.
+BLOCK = 8
 #: Texts whose passages are multiplied with the benchmark's at once.
 BATCH = 64
 #: Share of a benchmark passage that must stand in the text in order; for paraphrases a smaller one
@@ -71,19 +74,38 @@ class Benchmark:
                 masks[word] = masks.get(word, 0) | 1 << place
             self.masks.append(masks)
 
+    def width(self) -> type:
+        return np.int16 if len(self.known) < 2**15 else np.int32
+
+    def unpacked(self, packed: bytes) -> np.ndarray:
+        return np.frombuffer(packed, dtype=self.width()).astype(np.int64)
+
     def ids(self, text: str | None) -> np.ndarray:
         """Numbers of a text's words in order, -1 for words that no benchmark item has."""
         return np.array(list(map(self.known.get, words_of(text), repeat(-1))), dtype=np.int64)
 
 
-def sketch(docs: DataFrame, benchmark: Benchmark, width: int, seed: int = 17) -> tuple[int, np.ndarray, np.ndarray]:
+def encode(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """(doc_id, ids): each text's word numbers as bytes, written once for the passes that follow; other words are -1."""
+    python_ready(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(benchmark)
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [model.ids(t).astype(model.width()).tobytes() for t in batch["text"]]})
+
+    return written(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids binary"))
+
+
+def sketch(encoded: DataFrame, benchmark: Benchmark, width: int, seed: int = 17) -> tuple[int, np.ndarray, np.ndarray]:
     """One pass over all documents: their number, the terms' document frequencies and G W.
 
-    G is the terms' Gram matrix over all passages of the corpus and W a random test matrix; every task
+    G is the terms' Gram matrix over all passages of the corpus and W a sparse random test matrix; every task
     adds up its own share of G W and hands on a row for each term that it met.
     """
-    python_ready(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(benchmark)
+    shared = encoded.sparkSession.sparkContext.broadcast(benchmark)
     terms = len(benchmark.known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,9 +114,9 @@ def sketch(docs: DataFrame, benchmark: Benchmark, width: int, seed: int = 17) ->
         total, df, out = 0, np.zeros(terms, dtype=np.int64), np.zeros((terms, width))
         for batch in batches:
             rows, groups, at = [], [], 0
-            for text in batch["text"]:
+            for packed in batch["ids"]:
                 total += 1
-                ids = model.ids(text)
+                ids = model.unpacked(packed)
                 place = np.flatnonzero(ids >= 0)
                 if len(place):
                     rows.append(ids[place])
@@ -110,7 +132,7 @@ def sketch(docs: DataFrame, benchmark: Benchmark, width: int, seed: int = 17) ->
         yield pd.DataFrame({"t": np.append(met, -1), "n": np.append(df[met], total), **{f"y{k}": np.append(out[met, k], 0.0) for k in range(width)}})
 
     schema = "t long, n long, " + ", ".join(f"y{k} double" for k in range(width))
-    found = docs.select("text").mapInPandas(run, schema).groupBy("t").agg(F.sum("n").alias("n"), *[F.sum(f"y{k}").alias(f"y{k}") for k in range(width)])
+    found = encoded.select("ids").mapInPandas(run, schema).groupBy("t").agg(F.sum("n").alias("n"), *[F.sum(f"y{k}").alias(f"y{k}") for k in range(width)])
     total, df, out = 0, np.zeros(terms), np.zeros((terms, width))
     for r in found.collect():  # one row for each benchmark term
         if r["t"] < 0:
@@ -121,17 +143,20 @@ def sketch(docs: DataFrame, benchmark: Benchmark, width: int, seed: int = 17) ->
     return total, df, out
 
 
-def test_matrix(terms: int, width: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((terms, width)).astype(np.float32)
+def test_matrix(terms: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sparse random test matrix: each term's one column and sign."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, width, terms), rng.choice(np.array([-1.0, 1.0], dtype=np.float32), terms)
 
 
-def _add(out: np.ndarray, test: np.ndarray, rows: list, groups: list) -> None:
+def _add(out: np.ndarray, test: tuple[np.ndarray, np.ndarray], rows: list, groups: list) -> None:
     """Add the sum over passages p of p (p' W)."""
+    column, sign = test
+    width = out.shape[1]
     ids, group = np.concatenate(rows), np.concatenate(groups)
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sums = np.add.reduceat(test[ids], starts, axis=0)
-    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))
-    order = np.argsort(ids, kind="stable")
+    of = np.cumsum(np.r_[False, group[1:] != group[:-1]])
+    sums = np.bincount(of * width + column[ids], weights=sign[ids], minlength=(of[-1] + 1) * width).astype(np.float32).reshape(-1, width)
+    order = np.argsort(ids.astype(np.uint16) if len(out) < 65536 else ids, kind="stable")
     ids, of = ids[order], of[order]
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     out[ids[first]] += np.add.reduceat(sums[of], first, axis=0)
@@ -140,8 +165,10 @@ def _add(out: np.ndarray, test: np.ndarray, rows: list, groups: list) -> None:
 class Detector:
     """IDF weights, latent directions and the benchmark's passage vectors; a plain object that is broadcast."""
 
-    def __init__(self, benchmark: Benchmark, total: int, df: np.ndarray, gram: np.ndarray, test: np.ndarray, dimensions: int = DIMENSIONS) -> None:
+    def __init__(self, benchmark: Benchmark, total: int, df: np.ndarray, gram: np.ndarray, sketched: tuple[np.ndarray, np.ndarray], dimensions: int = DIMENSIONS) -> None:
         self.benchmark = benchmark
+        test = np.zeros(gram.shape)
+        test[np.arange(len(gram)), sketched[0]] = sketched[1]
         idf = np.log((1 + total) / (1 + df)) + 0.1
         # the TF-IDF Gram matrix M = D G D in one pass: M (D^-1 W) = D (G W), and Nystrom's formula gives its leading directions
         left = gram * idf[:, None]
@@ -153,10 +180,11 @@ class Detector:
         if root.size:
             directions, strength, _ = np.linalg.svd(root, full_matrices=False)
             # each direction counts by its inverse strength: what all texts of a language share says little
-            directions = directions[:, :dimensions] / np.maximum(strength[:dimensions], 1e-9 * strength[0])
+            real = int((strength[:dimensions] > 1e-4 * strength[0]).sum())  # the rest is rounding
+            directions = directions[:, :real] / strength[:real]
         else:
             directions = root
-        self.space = np.vstack([idf[:, None] * directions, np.zeros((1, directions.shape[1]))]).astype(np.float32)  # the last row is for unknown words
+        self.space = (idf[:, None] * directions).astype(np.float32)
         self.points = _unit(np.array([self.space[ids].sum(0) for _, _, ids in benchmark.passages], dtype=np.float32).reshape(len(benchmark.passages), directions.shape[1]))
         self.short = np.array([i for i, (_, _, ids) in enumerate(benchmark.passages) if len(ids) <= SHORT], dtype=np.int64)
         order = np.argsort(-idf, kind="stable")
@@ -169,10 +197,13 @@ class Detector:
         return self.hits_of([text])[0]
 
     def hits_of(self, texts: list[str | None]) -> list[list[tuple]]:
+        return self.hits_in(texts, self.benchmark.ids)
+
+    def hits_in(self, docs: list, ids: Callable[[object], np.ndarray]) -> list[list[tuple]]:
         """(item, common share, answer share, cosine) of every benchmark item found in each whole text, best passage each."""
         out = []
-        for lo in range(0, len(texts), BATCH):
-            out += self._some([self.benchmark.ids(t) for t in texts[lo : lo + BATCH]])
+        for lo in range(0, len(docs), BATCH):
+            out += self._some([ids(d) for d in docs[lo : lo + BATCH]])
         return out
 
     def _some(self, docs: list[np.ndarray]) -> list[list[tuple]]:
@@ -180,35 +211,46 @@ class Detector:
         if len(self.points) and any(len(d) for d in docs):
             owner, at = [], []
             for i, ids in enumerate(docs):
-                n = -(-len(ids) // STRIDE)
+                n = -(-len(ids) // BLOCK)
                 owner.append(np.full(n, i))
-                at.append(np.arange(n) * STRIDE)
+                at.append(np.arange(n) * BLOCK)
             owner, at = np.concatenate(owner), np.concatenate(at)
             offsets = np.cumsum([0, *(len(d) for d in docs)])
             flat = np.concatenate(docs)
-            for lo in range(0, len(at), 8192):  # long texts go in stretches; the next block completes the last passage
-                hi = min(lo + 8193, len(at))
+            for lo in range(0, len(at), 8192):  # long texts go in stretches; three more blocks complete the last passage
+                hi = min(lo + 8195, len(at))
                 starts = offsets[owner[lo:hi]] + at[lo:hi]
-                end = offsets[owner[hi - 1]] + min(at[hi - 1] + STRIDE, len(docs[owner[hi - 1]]))
-                blocks = np.add.reduceat(self.space[flat[starts[0] : end]], starts - starts[0], axis=0)
-                pairs = blocks[: hi - lo].copy()
-                same = np.flatnonzero(owner[lo : hi - 1] == owner[lo + 1 : hi])
-                pairs[same] += blocks[same + 1]
-                for points, which in ((_unit(pairs), np.arange(len(self.points))), (_unit(blocks), self.short)):
+                end = offsets[owner[hi - 1]] + min(at[hi - 1] + BLOCK, len(docs[owner[hi - 1]]))
+                words = flat[starts[0] : end]
+                known = np.flatnonzero(words >= 0)
+                bounds = np.searchsorted(known, starts - starts[0])
+                held = np.flatnonzero(np.diff(np.r_[bounds, len(known)]))  # blocks with a word of the benchmark's
+                one = np.zeros((hi - lo, self.space.shape[1]), dtype=np.float32)
+                if len(held):
+                    one[held] = np.add.reduceat(self.space[words[known]], bounds[held], axis=0)
+                two = _with_next(one, owner[lo:hi], 1)
+                stop = min(8192, hi - lo)
+                every = np.arange(stop)
+                whole = np.flatnonzero(at[lo : lo + stop] % STRIDE == 0)
+                four = _with_next(two, owner[lo:hi], 2)
+                for sums, rows, which in ((four, whole, np.arange(len(self.points))), (two, every, self.short)):
                     if not len(which):
                         continue
-                    cosines = points[: min(8192, hi - lo)] @ self.points[which].T
-                    for w, p in zip(*np.nonzero(cosines >= COSINE)):
-                        i = owner[lo + w]
-                        self._compare(best[i], docs[i], int(at[lo + w]), int(which[p]), float(cosines[w, p]))
+                    cosines = _unit(sums[rows]) @ self.points[which].T
+                    last, near, there = -1, [], set()
+                    for w, p in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE)), strict=True):
+                        i = owner[lo + rows[w]]
+                        if w != last:  # one passage of the text meets several of the benchmark's
+                            last, start = w, int(at[lo + rows[w]])
+                            near = docs[i][max(0, start - STRIDE) : start + PASSAGE + STRIDE]
+                            near = near[near >= 0].tolist()
+                            there = set(near)
+                        self._compare(best[i], near, there, int(which[p]), float(cosines[w, p]))
         return [sorted((item, *found) for item, found in b.items()) for b in best]
 
-    def _compare(self, best: dict, ids: np.ndarray, at: int, p: int, cosine: float) -> None:
+    def _compare(self, best: dict, near: list[int], there: set[int], p: int, cosine: float) -> None:
         item, _, words = self.benchmark.passages[p]
         n = len(words)
-        near = ids[max(0, at - STRIDE) : at + PASSAGE + STRIDE]
-        near = near[near >= 0].tolist()
-        there = set(near)
         masks = self.benchmark.masks[p]
         if len(masks.keys() & there) + n - len(masks) < PARAPHRASE * n:
             return  # too few of the passage's words stand there in any order
@@ -221,13 +263,21 @@ class Detector:
             best[item] = max(best.get(item, found), found)
 
 
+def _with_next(sums: np.ndarray, owner: np.ndarray, step: int) -> np.ndarray:
+    """Each row with the row ``step`` further on, if that belongs to the same text."""
+    out = sums.copy()
+    same = np.flatnonzero(owner[:-step] == owner[step:])
+    out[same] += sums[same + step]
+    return out
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS, max_words: int = MAX_WORDS) -> Detector:
-    """Read the benchmark after a check of its size, and take the statistics of all documents.
+def fit(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS, max_words: int = MAX_WORDS) -> tuple[Detector, DataFrame]:
+    """Read the benchmark after a check of its size, and take the statistics of all documents; also gives the encoded documents.
 
     A benchmark of more than ``max_items`` rows or about ``max_words`` words is refused with ValueError:
     its passages are broadcast. Null items and texts, and texts under eight words, are left out.
@@ -238,29 +288,29 @@ def fit(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS, max_w
         raise ValueError("the benchmark is too large to be broadcast; give it in parts")
     model = Benchmark([(r["item_id"], r["text"]) for r in rows.distinct().orderBy("item_id", "text").collect()])
     width = DIMENSIONS + OVERSAMPLE
-    total, df, gram = sketch(docs, model, width)
-    return Detector(model, total, df, gram, test_matrix(len(model.known), width, 17))
+    encoded = encode(docs, model)
+    total, df, gram = sketch(encoded, model, width)
+    return Detector(model, total, df, gram, test_matrix(len(model.known), width, 17)), encoded
 
 
-def find_leaks(docs: DataFrame, detector: Detector) -> DataFrame:
-    """Benchmark items found in documents: one row for each document row and item, doc_id, item_id, common, answer, cosine.
+def find_leaks(encoded: DataFrame, detector: Detector) -> DataFrame:
+    """Benchmark items found in encoded documents: one row for each document row and item, doc_id, item_id, common, answer, cosine.
 
     All passages of every whole text are held against all benchmark passages in the latent space; those
     close enough must share a long common subsequence, or a shorter one with the passage's answer words.
     Defined cases: null, empty and short texts hold nothing; repeated rows are reported each; an empty
     benchmark or table gives an empty result; other columns are ignored.
     """
-    python_ready(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(detector)  # bounded with the benchmark
-    kind = dict(docs.dtypes)["doc_id"]
+    shared = encoded.sparkSession.sparkContext.broadcast(detector)  # bounded with the benchmark
+    kind = dict(encoded.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = shared.value.hits_of(list(batch["text"]))
+            found = shared.value.hits_in(list(batch["ids"]), shared.value.benchmark.unpacked)
             out = [(doc, *hit) for doc, hits in zip(batch["doc_id"], found, strict=True) for hit in hits]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "common", "answer", "cosine"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, item_id long, common double, answer double, cosine double")
+    return encoded.mapInPandas(run, f"doc_id {kind}, item_id long, common double, answer double, cosine double")
 
 
 def is_leaky(docs: DataFrame, detector: Detector) -> DataFrame:
@@ -278,5 +328,5 @@ def is_leaky(docs: DataFrame, detector: Detector) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return find_leaks(docs, fit(docs, table(spark, sf_dir, "benchmark")))
+    detector, encoded = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(encoded, detector)
