@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions.shipping import ship
-from umbra.functions.staging import written
+from umbra.functions.staging import spread, written
 
 WORD = re.compile(r"\w+")
 
@@ -18,7 +18,7 @@ BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def python_ready(spark: SparkSession) -> None:
