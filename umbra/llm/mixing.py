@@ -18,7 +18,7 @@ BLOCK_ROWS = 64
 #: The schedule and the weights are driver-side tables; more sources than this are refused.
 MAX_SOURCES = 500
 #: Rows that one task ranks.
-RANK_ROWS = 8192
+RANK_ROWS = 1024
 
 
 def slot_shares(weights: dict, period: int = PERIOD) -> dict:
@@ -92,17 +92,16 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, period: int = PERI
     period = max(period, len(counts))
     shares = slot_shares(target, period) if counts else {}
     slots = local_table(spark, pfair_slots(shares) if counts else [], "_source string, _k long, _slot long")
-    size = local_table(spark, list(shares.items()), "_source string, _share long")
-    # the order is cut into ranges of the digest, small enough to be ranked in one task
-    ranges = max(1, math.ceil(max(counts.values(), default=1) / RANK_ROWS))
-    bucket = F.floor(F.coalesce(F.conv(F.substring("_order", 1, 6), 16, 10).cast("long"), F.lit(0)) * F.lit(ranges) / F.lit(16**6)).cast("long")
-    rows = rows.withColumn("_bucket", bucket)
+    size = local_table(spark, [(s, n, math.ceil(counts[s] / RANK_ROWS)) for s, n in shares.items()], "_source string, _share long, _ranges long")
+    # a source's order is cut into ranges of the digest, small enough to be ranked in one task
+    place_of = F.coalesce(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.lit(0))
+    rows = rows.join(F.broadcast(size), "_source").withColumn("_bucket", F.floor(place_of * F.col("_ranges") / F.lit(16**8)))
     starts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n")).select(
         "_source", "_bucket", (F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_n")).alias("_before")
     )
     place = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order", F.col("doc.doc_id"), F.xxhash64(*[F.col("doc").getField(c) for c, t in docs.dtypes if "map<" not in t]))) - 1
     ranked = rows.withColumn("_place", place).join(starts, ["_source", "_bucket"]).withColumn("_rank", F.col("_place") + F.col("_before"))
-    at = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows)).join(F.broadcast(size), "_source").withColumn("_k", F.expr("_block % _share"))
+    at = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows)).withColumn("_k", F.expr("_block % _share"))
     placed = at.join(F.broadcast(slots), ["_source", "_k"]).withColumn("_at", F.expr("(_block div _share)") * period + F.col("_slot"))
     horizon = min((_end_slot(s, counts[s], block_rows, shares, period) for s in counts), default=0) if counts else 0
     return placed.select(
@@ -116,8 +115,8 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, period: int = PERI
 
 
 def _end_slot(source: str, rows: int, block_rows: int, shares: dict, period: int) -> int:
-    """A slot by which this source still has blocks: the deadline of its last whole block, rounded down."""
-    return rows // block_rows * period // shares[source]
+    """The slot from which this source has no block: the release of the one after its last."""
+    return -(-rows // block_rows) * period // shares[source]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
