@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.functions.staging import written
 from umbra.llm.common import table
 
 #: Characters stripped at both ends of a line before it is compared.
@@ -47,8 +48,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         shared = lines.groupBy("_h1", "_h2").agg(first, F.max("_id").alias("_last")).where("_first < _last")
     else:
         shared = lines.groupBy("_h1", "_h2").agg(first, F.count_distinct("_id").alias("_n")).where(F.col("_n") >= min_docs)
+    # written, so that both sides of the join come straight from a shuffle and Spark can split a common line's rows
+    shared = written(shared.select("_h1", "_h2", "_first"))
     drops = (
-        lines.join(shared.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
+        lines.join(shared, ["_h1", "_h2"])
         .where("_id > _first")
         .groupBy("_id", "_row")
         .agg(F.collect_set("_pos").alias("_drop"))
