@@ -19,7 +19,7 @@ WORDS, SIMILARITY = 5, 0.8
 RECALL = 0.99999
 MAX_BANDS = 40
 #: A block of a candidate group: documents and bytes of text that one task compares with another block.
-BLOCK_DOCS, BLOCK_BYTES = 256, 4_000_000
+BLOCK_DOCS, BLOCK_BYTES = 128, 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD_IDS: dict[str, int] = {}
 
