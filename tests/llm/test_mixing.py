@@ -61,3 +61,14 @@ def test_empty_and_too_many(spark):
     assert mix_sources(empty).count() == 0
     with pytest.raises(ValueError):
         mix_sources(spark.createDataFrame([(i, f"s{i}") for i in range(5)], "doc_id long, source string"), max_sources=4)
+
+
+@pytest.mark.parametrize("n", [20, 400])
+def test_keeps_to_the_unrounded_weights_over_many_periods(spark, n):
+    counts = {f"s{i:03}": 20000 // n for i in range(1, n)} | {"big": 10000}
+    rows = spark.createDataFrame([(f"{s}-{i}", s) for s, c in counts.items() for i in range(c)], "doc_id string, source string")
+    out = mix_sources(rows, block_rows=1).where("on_target").select("source_key", "block", "slot").collect()
+    assert sorted(r["slot"] for r in out) == list(range(len(out))) and len(out) > 10000
+    weight = {s: math.sqrt(c) / math.fsum(map(math.sqrt, counts.values())) for s, c in counts.items()}
+    for s, k, t in out:
+        assert abs(k - weight[s] * t) < 2 and abs(k + 1 - weight[s] * (t + 1)) < 2

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import heapq
 import math
-from fractions import Fraction
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from umbra.llm.common import local_table, table
 
-#: Slots after which the schedule repeats; weights are rounded to multiples of one slot.
+#: Slots that are scheduled one by one; the places of later blocks are computed.
 PERIOD = 1000
+#: Weights are whole numbers of this total, so that a schedule of 10**11 slots is off by less than one block for it.
+GRAIN = 10**12
 #: Rows of a source that are scheduled together.
 BLOCK_ROWS = 64
 #: The schedule and the weights are driver-side tables; more sources than this are refused.
@@ -22,7 +24,7 @@ RANK_ROWS = 1024
 
 
 def slot_shares(weights: dict, period: int = PERIOD) -> dict:
-    """Whole slots of each period for each source: largest remainders, at least one slot each."""
+    """Whole shares of a period for each source: largest remainders, at least one each."""
     total = math.fsum(weights.values())
     exact = {k: period * w / total for k, w in weights.items()}
     shares = {k: max(1, math.floor(x)) for k, x in exact.items()}
@@ -36,31 +38,56 @@ def slot_shares(weights: dict, period: int = PERIOD) -> dict:
     return shares
 
 
-def pfair_slots(shares: dict) -> list[tuple]:
-    """One period of the schedule as (source, block in the period, slot).
+def pfair_slots(shares: dict, slots: int | None = None) -> list[tuple]:
+    """The first slots of the schedule (as many as all shares, if not given) as (source, block, slot).
 
-    Block k of a source with weight w may start at floor(k / w) and must be done by ceil((k + 1) / w).
-    Among the released blocks the one with the earliest deadline gets the slot (ties by name), which
-    keeps every source within one block of weight times slots.
+    Block k of a source with weight w, its part of all shares, may start at floor(k / w) and must be done by
+    ceil((k + 1) / w). Among the released blocks the one with the earliest deadline gets the slot (ties by name),
+    which keeps every source within one block of weight times slots.
     """
     period = sum(shares.values())
-    weight = {k: Fraction(n, period) for k, n in shares.items()}
-    waiting: list[list] = [[] for _ in range(period + 1)]
+    slots = period if slots is None else slots
+    waiting: list[list] = [[] for _ in range(slots)]
     for source in sorted(shares):
         waiting[0].append((source, 0))
     ready: list[tuple] = []
     out = []
-    for slot in range(period):
+    for slot in range(slots):
         for source, k in waiting[slot]:
-            heapq.heappush(ready, (math.ceil((k + 1) / weight[source]), source, k))
+            heapq.heappush(ready, (-(-(k + 1) * period // shares[source]), source, k))
         _, source, k = heapq.heappop(ready)
         out.append((source, k, slot))
-        if k + 1 < shares[source]:
-            release = max(math.floor((k + 1) / weight[source]), slot + 1)
+        release = max((k + 1) * period // shares[source], slot + 1)
+        if release < slots:
             waiting[release].append((source, k + 1))
     return out
 
 
+def split_steps(shares: dict, done: dict) -> dict:
+    """The steps (a, b, f) from each source up a Huffman tree of the shares, for the blocks after the first ``done``.
+
+    A node deals its slots to its two branches in proportion: of its first c slots, floor((a * c + f) / b) belong to
+    a branch that holds a of the node's b shares. So block m of a branch is slot (b * (m + 1) - f - 1) div a of its
+    node, and at the root that is the slot of the whole schedule. A node never strays by a whole block from where
+    ``done`` left it, and its error reaches a source only in proportion to the source's part of the branch; a source's
+    part at least halves with every second step, so the sum is bounded whatever the run's length and the number of sources.
+    """
+    steps: dict = {s: [] for s in shares}
+    heap = [(n, i, [s]) for i, (s, n) in enumerate(sorted(shares.items()))]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (a, i, left), (other, _, right) = heapq.heappop(heap), heapq.heappop(heap)
+        b, here = a + other, sum(done[s] for s in left)
+        low = b * here - a * (here + sum(done[s] for s in right))
+        f = min(max(b // 2, low), low + b - 1)
+        for s in left:
+            steps[s].append((a, b, f))
+        for s in right:
+            steps[s].append((other, b, b - 1 - f))
+        heapq.heappush(heap, (b, i, left + right))
+    return steps
+
+
 def default_weights(counts: dict) -> dict:
     """Square roots of the sources' row counts: large sources lead, small ones are heard."""
     return {k: math.sqrt(n) for k, n in counts.items() if n}
@@ -70,8 +97,9 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, period: int = PERI
     """Give each row its place in an interleaving of the sources that follows target weights.
 
     Rows of a source are ordered by the MD5 of their doc_id and cut into blocks of ``block_rows``.
-    Blocks go into the slots of a periodic Pfair schedule, so the place of a block is arithmetic on a
-    table of ``period`` rows and no task sees a whole source. No row is dropped or repeated: where a
+    The first ``period`` slots follow a Pfair schedule; the place of a later block is arithmetic on the
+    steps of its source (``split_steps``), which go on from there. Both use the unrounded weights, the
+    tables are bounded and no task sees a whole source. No row is dropped or repeated: where a
     source has run out its later slots stay empty. Columns: ``doc`` (the input row as a struct),
     ``source_key``, ``block``, ``slot`` and ``pos`` (the row's place in its block); ordering by slot
     and pos is the mix. ``on_target`` is true for the slots before the first source has run out.
@@ -90,9 +118,15 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, period: int = PERI
     counts = {r["_source"]: r["count"] for r in counted}
     target = default_weights(counts) if weights is None else {k: weights.get(k, min(weights.values())) for k in counts}
     period = max(period, len(counts))
-    shares = slot_shares(target, period) if counts else {}
-    slots = local_table(spark, pfair_slots(shares) if counts else [], "_source string, _k long, _slot long")
-    size = local_table(spark, [(s, n, math.ceil(counts[s] / RANK_ROWS)) for s, n in shares.items()], "_source string, _share long, _ranges long")
+    shares = slot_shares(target, GRAIN) if counts else {}
+    first = pfair_slots(shares, period) if counts else []
+    done = Counter(s for s, _, _ in first)
+    steps = split_steps(shares, done)
+    slots = local_table(spark, first, "_source string, _block long, _slot long")
+    size = local_table(
+        spark, [(s, math.ceil(counts[s] / RANK_ROWS), *([x[i] for x in steps[s]] for i in range(3))) for s in shares],
+        "_source string, _ranges long, _a array<long>, _b array<long>, _f array<long>",
+    )
     # a source's order is cut into ranges of the digest, small enough to be ranked in one task
     place_of = F.coalesce(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.lit(0))
     rows = rows.join(F.broadcast(size), "_source").withColumn("_bucket", F.floor(place_of * F.col("_ranges") / F.lit(16**8)))
@@ -101,9 +135,14 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, period: int = PERI
     )
     place = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order", F.col("doc.doc_id"), F.xxhash64(*[F.col("doc").getField(c) for c, t in docs.dtypes if "map<" not in t]))) - 1
     ranked = rows.withColumn("_place", place).join(starts, ["_source", "_bucket"]).withColumn("_rank", F.col("_place") + F.col("_before"))
-    at = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows)).withColumn("_k", F.expr("_block % _share"))
-    placed = at.join(F.broadcast(slots), ["_source", "_k"]).withColumn("_at", F.expr("(_block div _share)") * period + F.col("_slot"))
-    horizon = min((_end_slot(s, counts[s], block_rows, shares, period) for s in counts), default=0) if counts else 0
+    at = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows))
+    # products of shares and slots exceed a long
+    later = "aggregate(arrays_zip(_a, _b, _f), _block, (m, s) -> (cast(s._b as decimal(15,0)) * cast(m + 1 as decimal(20,0)) - s._f - 1) div s._a)"
+    placed = at.join(F.broadcast(slots), ["_source", "_block"], "left").withColumn("_at", F.coalesce("_slot", F.expr(later)))
+    begun: dict = {s: {} for s in shares}
+    for s, k, slot in first:
+        begun[s][k] = slot
+    horizon = min((_end_slot(-(-counts[s] // block_rows), begun[s], steps[s]) for s in shares), default=0)
     return placed.select(
         "doc",
         F.col("_source").alias("source_key"),
@@ -114,9 +153,13 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, period: int = PERI
     )
 
 
-def _end_slot(source: str, rows: int, block_rows: int, shares: dict, period: int) -> int:
-    """The slot from which this source has no block: the release of the one after its last."""
-    return -(-rows // block_rows) * period // shares[source]
+def _end_slot(block: int, first: dict, steps: list[tuple]) -> int:
+    """The slot of a block, here of the one after a source's last: from there the source's slots are empty."""
+    if block in first:
+        return first[block]
+    for a, b, f in steps:
+        block = (b * (block + 1) - f - 1) // a
+    return block
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
