@@ -1,9 +1,11 @@
 import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from umbra.functions import text as T
 from umbra.operators import findings as fi
 from umbra.operators import redact, resolve, review
@@ -11,7 +13,8 @@ from umbra.operators.detect import detect_native
 from umbra.operators.forms import form_spans
 from umbra.operators.names import Lexicon, name_spans
 from umbra.plans import fixtures as fx
-from umbra.schemas import SPANS
+from umbra.plans import registry
+from umbra.schemas import CATEGORIES, SPANS
 from umbra.sources import files
 from umbra.streaming import inbox
 
@@ -149,3 +152,23 @@ def test_review_state(spark):
     areas = spark.createDataFrame([("d", 1, (4.0, 0.0, 9.0, 9.0))], "doc_id string, page int, rect struct<x:double,y:double,w:double,h:double>")
     assert [r["start"] for r in review.select_by_drag(frame, areas).collect()] == [9]
     assert [r["page"] for r in review.ordered(frame).collect()] == [1, 1, 2]
+
+
+def test_whole_roll_ups_against_brute_force(spark, tmp_path):
+    texts = [
+        "Victim: Marta Okafor\nDOB 04/17/1988\nSSN 219-55-0143\nPhone (212) 555-0147\nEmail Marta@example.org\nmarta@example.org again, from 10.0.0.7\nOkafor said she left.",
+        "Incident date 5/6/2021\nSee https://example.org/x\nPhone 212-555-0148, then 212-555-0148", "The weather was mild.", None,
+    ]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    found = fi.detect(registry.document_pages(spark, str(tmp_path))).collect()
+    n, ok = Counter(r["category"] for r in found), Counter(r["category"] for r in found if r["accepted"])
+    assert {"Name", "DateOfBirth", "Date", "SocialSecurityNumber", "PhoneNumber", "EmailAddress", "IpAddress", "WebAddress"} <= set(n) and n["PhoneNumber"] == 3
+    rolled = run("all_category_rollup")
+    assert {r["category"]: (r["n_findings"], r["n_accepted"]) for r in rolled} == {c: (n[c], ok[c]) for c, _, _ in CATEGORIES}
+    assert all(r["state"] == ("none" if not r["n_accepted"] else "all" if r["n_accepted"] == r["n_findings"] else "some") for r in rolled)
+    assert [tuple(r) for r in run("all_summary_counts")] == [(len(found), sum(ok.values()))]
+    assert {(r["category"], r["accepted"]): r["n"] for r in run("all_accept_rule")} == Counter((r["category"], r["accepted"]) for r in found)
+    groups = Counter((r["doc_id"], " ".join(r["text"].split()).lower()) for r in found)
+    assert {(r["doc_id"], r["key"]): r["n_findings"] for r in run("all_value_groups")} == groups and max(groups.values()) == 2
+    assert {r["category"] for r in entry.entry(spark).collect() if r["n_findings"]} > {"EmailAddress", "IpAddress"}

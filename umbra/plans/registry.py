@@ -88,6 +88,7 @@ def ipv4_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SPANS_SQL can recompute; the queries that begin with ``all_`` are over every kind of finding."""
     return _resolved(detect_native(document_pages(spark, sf_dir), only={"email", "ipv4"}))
 
 
@@ -129,6 +130,29 @@ def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.summary(_two_kinds(spark, sf_dir))
 
 
+# The whole of the four queries above: both passes, names and form fields. Loops, so there is no SQL for them.
+
+
+@query("all_accept_rule")
+def all_accept_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.detect(document_pages(spark, sf_dir)).groupBy("category", "accepted").agg(F.count("*").alias("n"))
+
+
+@query("all_category_rollup")
+def all_category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.category_rollup(fi.detect(document_pages(spark, sf_dir)))
+
+
+@query("all_value_groups")
+def all_value_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.value_groups(fi.detect(document_pages(spark, sf_dir))).select("doc_id", "key", "n_findings", "n_accepted", "category", "state")
+
+
+@query("all_summary_counts")
+def all_summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.summary(fi.detect(document_pages(spark, sf_dir)))
+
+
 @query("native_findings")
 def native_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pattern rule over every document, overlaps resolved."""
