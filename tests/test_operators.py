@@ -10,7 +10,7 @@ from umbra.functions import text as T
 from umbra.operators import findings as fi
 from umbra.operators import redact, resolve, review
 from umbra.operators.detect import detect_native
-from umbra.operators.forms import form_spans
+from umbra.operators.forms import KIND_OF, _labels_of, form_spans, may_have_label
 from umbra.operators.names import Lexicon, name_spans
 from umbra.plans import fixtures as fx
 from umbra.plans import registry
@@ -172,3 +172,24 @@ def test_whole_roll_ups_against_brute_force(spark, tmp_path):
     groups = Counter((r["doc_id"], " ".join(r["text"].split()).lower()) for r in found)
     assert {(r["doc_id"], r["key"]): r["n_findings"] for r in run("all_value_groups")} == groups and max(groups.values()) == 2
     assert {r["category"] for r in entry.entry(spark).collect() if r["n_findings"]} > {"EmailAddress", "IpAddress"}
+
+
+def test_labels_spelt_with_other_signs(spark):
+    pages = pages_of(spark, "D.O.B.\n04 17 1988", "d . o . b\n04 17 1988", "(1)D-O-B:\n04 17 1988")
+    for given in (pages, fi.add_words(pages)):
+        found = fi.detect(given).where("category = 'DateOfBirth'").select("page", "rule").collect()
+        assert sorted(tuple(r) for r in found) == [(1, "form date"), (2, "form date"), (3, "form date")]
+
+
+def test_gate_passes_all_that_the_form_detector_accepts(spark):
+    rng = random.Random(5)
+    spelt = []
+    for label in KIND_OF:
+        for signs in ([""], ["", "."], ["", "", "", " ", "/", "7"], ["", "", "-", "\u00a0"]):
+            for case in (str.lower, str.upper, str.title):
+                spelt.append("7) " + "".join(c + rng.choice(signs) for c in case(label)) + ": x")
+    spelt += ["ßN", "phoneme", "adobe", "The weather was mild."]
+    accepted = [bool(_labels_of(fi.words_of_text(t))) for t in spelt]
+    gate = [r[1] for r in sorted(spark.createDataFrame(list(enumerate(spelt)), "n int, text string").select("n", may_have_label(F.col("text"))).collect())]
+    assert sum(accepted) > 300 and all(g for a, g in zip(accepted, gate, strict=True) if a)
+    assert accepted[-4] and gate[-4:] == [True, False, False, False]

@@ -13,7 +13,7 @@ from umbra.functions import rects as R
 from umbra.functions.shipping import ship
 from umbra.functions.staging import written
 from umbra.operators.detect import detect_native, term_rules, rule_spans
-from umbra.operators.forms import LABEL_START, add_form_fields
+from umbra.operators.forms import add_form_fields, may_have_label
 from umbra.operators.names import Lexicon, add_names
 from umbra.operators.propagate import with_pass2
 from umbra.operators.resolve import accepted, resolve, without
@@ -90,8 +90,8 @@ def detect(pages: DataFrame, options: Options | None = None) -> DataFrame:
     if o.names:
         found = add_names(found, o.lexicon)
     if o.forms:
-        if "words" not in keep:  # only pages with a word that can begin a label need geometry here
-            found = add_words(found, F.col("text").rlike(LABEL_START))
+        if "words" not in keep:  # only pages that may have a label need geometry here
+            found = add_words(found, may_have_label(F.col("text")))
         found = add_form_fields(found)
         found = found if "words" in keep else found.drop("words")
     if o.propagate:  # pass 2 reads pass 1 several times, so it is written once

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.shipping import ship
@@ -146,5 +146,24 @@ def add_form_fields(pages: DataFrame, page_width: float = 612.0) -> DataFrame:
 
 #: What the first word of a label can be.
 _STARTS = frozenset(label[:n] for label in KIND_OF for n in range(1, len(label) + 1))
-#: A text without this has no label; letters of a label may stand in several words.
-LABEL_START = r"(?i)\b(?:dob|date|birth|ssn?|s\.?\s*s|social|soc|id|i\.d|dl|d\.l|oln?|o\.l|driver|license|operator|state|home|phone|tele|cell|mobile|work|emergency|contact|address|residence|street|exact|location|incident|offense)"
+
+
+def _spelt(labels: list[str]) -> str:
+    """A pattern of the labels with any characters but letters between their letters; common beginnings are tried once."""
+    tails: dict[str, list[str]] = {}
+    for label in labels:
+        tails.setdefault(label[0], []).append(label[1:])
+    ways = []
+    for first, rest in sorted(tails.items()):
+        more = [r for r in rest if r]
+        longer = rf"(?:\P{{L}}*+{_spelt(more)})" if more else ""
+        ways.append(first + longer + ("?" if more and "" in rest else ""))
+    return f"(?:{'|'.join(ways)})"
+
+
+#: A text in capitals without this has no label: all that ``_labels_of`` finds in words by their order in the text, and more.
+LABEL = r"(?<!\p{L})" + _spelt(sorted(KIND_OF)) + r"(?!\p{L})"
+
+
+def may_have_label(text: Column) -> Column:
+    return F.upper(text).rlike(LABEL)
