@@ -9,9 +9,10 @@ import __spark_entry__ as entry
 from umbra.functions import text as T
 from umbra.operators import findings as fi
 from umbra.operators import redact, resolve, review
-from umbra.operators.detect import detect_native
+from umbra.functions import reading
+from umbra.operators.detect import Detector, Found, PATTERN_RULES, Scanner, detect_rules
 from umbra.operators.forms import KIND_OF, _labels_of, form_spans, may_have_label
-from umbra.operators.names import Lexicon, name_spans
+from umbra.operators.names import Lexicon, name_detector
 from umbra.plans import fixtures as fx
 from umbra.plans import registry
 from umbra.schemas import CATEGORIES, SPANS
@@ -26,19 +27,19 @@ def pages_of(spark, *texts):
 def test_look_alikes_find_nothing(spark):
     for group, rules in fx.GROUPS.items():
         texts = [t for c, g, t in fx.TEXTS if g == group and c.startswith("no")]
-        found = detect_native(pages_of(spark, *texts), only=set(rules)).collect() if texts else []
+        found = detect_rules(pages_of(spark, *texts), only=set(rules)).collect() if texts else []
         assert [r["spans"] for r in found] == [[] for _ in texts], group
-    assert name_spans(dict(fx.NAME_TEXTS)["no name"], Lexicon()) == []
+    assert Scanner([name_detector()])(dict(fx.NAME_TEXTS)["no name"]) == []
 
 
 def test_offsets_are_code_points(spark):
     text = "😀 a@b.co then é 10.0.0.7 x@y.org"
-    spans = detect_native(pages_of(spark, text), only={"email", "ipv4"}).first()["spans"]
+    spans = detect_rules(pages_of(spark, text), only={"email", "ipv4"}).first()["spans"]
     assert [(s["start"], s["text"], text[s["start"] : s["start"] + s["length"]]) for s in spans] == [(2, "a@b.co", "a@b.co"), (25, "x@y.org", "x@y.org"), (16, "10.0.0.7", "10.0.0.7")]
 
 
 def test_no_match_crosses_a_page_and_null_text(spark):
-    rows = detect_native(pages_of(spark, "call 212-555-", "0147", None, ""), only={"phone"}).collect()
+    rows = detect_rules(pages_of(spark, "call 212-555-", "0147", None, ""), only={"phone"}).collect()
     assert all(r["spans"] == [] for r in rows)
 
 
@@ -89,11 +90,11 @@ def test_options(spark):
 
 
 def test_scalar_functions(spark):
-    row = spark.sql("SELECT '12 345 STATE TX' a, ': #x-1,; ' b, '79927398713' c").select(
-        T.first_digit_run(F.col("a"))[1].alias("run"), T.trimmed(F.col("b"), F.lit(5))[0].alias("start"), T.trimmed(F.col("b"), F.lit(5))[1].alias("text"),
-        T.luhn_valid(F.col("c")).alias("luhn"), T.all_same_digit(F.lit("")).alias("same"), T.label_key(F.lit("S. S. No")).alias("key"),
-    ).first()
-    assert tuple(row) == ("12 345", 8, "x-1", True, False, "SSNO")
+    assert reading.digit_run("12 345 STATE TX") == (0, 6) and reading.digit_run("none here") == (0, 0) and reading.digit_run("A 7B 9 x 1") == (2, 6)
+    assert reading.trim(": #x-1,; ", 0, 9) == (3, 6)
+    assert reading.luhn("79927398713") and not reading.luhn("79927398710") and not reading.luhn("") and not reading.luhn("\u0664" * 11)
+    assert reading.lowered("İA") == "İa"
+    assert spark.range(1).select(T.label_key(F.lit("S. S. No"))).first()[0] == "SSNO"
 
 
 def test_form_geometry():
@@ -193,3 +194,46 @@ def test_gate_passes_all_that_the_form_detector_accepts(spark):
     gate = [r[1] for r in sorted(spark.createDataFrame(list(enumerate(spelt)), "n int, text string").select("n", may_have_label(F.col("text"))).collect())]
     assert sum(accepted) > 300 and all(g for a, g in zip(accepted, gate, strict=True) if a)
     assert accepted[-4] and gate[-4:] == [True, False, False, False]
+
+
+def test_own_detectors(spark):
+    def ticket(page):
+        at = page.low.find("ticket ")
+        return [Found(at + 7, reading.run_of(page.text, at + 7), 0.9)] if at >= 0 else []
+
+    mine = Detector("ticket", "CustomTerm", ticket)
+    pages = pages_of(spark, "Ticket AB12 from marta@example.org", None, "")
+    found = fi.detect(pages, fi.Options(detectors=[mine], propagate=False)).collect()
+    assert [(r["category"], r["text"], r["rule"]) for r in found] == [("CustomTerm", "AB12", "ticket")]
+    both = fi.detect(pages, fi.Options(detectors=(*fi.BUILT_IN, mine), propagate=False)).collect()
+    assert sorted(r["text"] for r in both) == ["AB12", "marta@example.org"]
+
+
+def test_many_matches_in_one_text():
+    text = "call (212) 555-0147 or a@b.co on 10.0.0.7; " * 5000
+    spans = [dict(zip(("start", "length", "category", "confidence", "rule", "seq", "text"), s, strict=True)) for s in Scanner(fi.BUILT_IN)(text)]
+    kept = resolve.keep_best(spans)
+    assert len(kept) == 15000 and all(text[s["start"] : s["start"] + s["length"]] == s["text"] for s in kept)
+    assert len(fi.placed(kept, fi.words_of_text(text))) == 15000
+
+
+def test_shapes_of_values():
+    scanner = Scanner(PATTERN_RULES)
+    for text, rule, value in (
+        ("call +1 (212) 555-0147 now", "phone", "+1 (212) 555-0147"),
+        ("1-212-555-0147", "phone", "1-212-555-0147"),
+        ("on 3 Mar. 2020, then", "date d month yyyy", "3 Mar. 2020"),
+        ("100 W. Oak Ave., Suite 200, Troy, MI 48083-1234 etc", "street", "100 W. Oak Ave., Suite 200, Troy, MI 48083-1234"),
+        ("44 Pine Hollow\nStreet", "street", "44 Pine Hollow\nStreet"),
+        ("12 North Street", "street", "12 North Street"),
+        ("plate 2027 ABC", "plate", "2027 ABC"),
+        ("LP: OH ABC-1234", "plate", "ABC-1234"),
+        ("acct no: AB12345678", "account", "AB12345678"),
+        ("DOC ID: A123456", "justice id", "A123456"),
+        ("St. Louis, MO 63101", "city line", "St. Louis, MO 63101"),
+        ("Badge ID No. 4471", "badge", "4471"),
+        ("P O Box 12, Dayton, OH 45402", "po box", "P O Box 12, Dayton, OH 45402"),
+    ):
+        assert (rule, value) in {(s[4], s[6]) for s in scanner(text)}, text
+    for text in ("+12125550147 no", "15th of May", "VIN: 1HGBH41JXMN109186_", "paid 4111 1111 1111 1112", "meet at 10:30 Main Street"):
+        assert not scanner(text), (text, scanner(text))

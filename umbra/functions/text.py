@@ -8,46 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def digit_count(text: Column) -> Column:
-    return F.char_length(F.regexp_replace(text, r"[^\p{Nd}]", ""))
-
-
-def letter_count(text: Column) -> Column:
-    return F.char_length(F.regexp_replace(text, r"[^\p{L}]", ""))
-
-
 def digits_of(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{Nd}]", "")
 
 
-def all_same_digit(digits: Column) -> Column:
-    """False for an empty text."""
-    return digits.rlike(r"^(\d)\1*$")
-
-
-def luhn_valid(digits: Column) -> Column:
-    """Luhn check; false for an empty text and for anything but ASCII digits."""
-    return F.coalesce(digits.rlike("^[0-9]+$") & F.call_function("luhn_check", digits), F.lit(False))
-
-
-def context_before(before: Column, pattern: str, window: int) -> Column:
-    """Whether a pattern stands in the last ``window`` characters before a match; the cut counts as a word boundary."""
-    return F.substring(before, -window, window).rlike(pattern)
-
-
-def trimmed(text: Column, start: Column) -> tuple[Column, Column]:
-    """Strip leading blanks, colons, number signs and dashes and trailing blanks and marks: new start and text."""
-    left = F.regexp_replace(text, r"^[\s:#\-]+", "")
-    return start + F.char_length(text) - F.char_length(left), F.regexp_replace(left, r"[\s,.;:]+$", "")
-
-
-def first_digit_run(text: Column) -> tuple[Column, Column]:
-    """The first run of space-separated tokens that hold a digit: its offset and text, empty if there is none."""
-    inside = r"(?:[^ ]*\p{Nd}[^ ]*)(?: [^ ]*\p{Nd}[^ ]*)*"
-    found = F.regexp_extract(text, rf"^((?:[^ \p{{Nd}}]* )*?)({inside})", 2)
-    return F.char_length(F.regexp_extract(text, rf"^((?:[^ \p{{Nd}}]* )*?)({inside})", 1)), found
-
-
 def within_one_edit(a: Column, b: Column) -> Column:
     """At most one inserted, deleted, replaced or swapped neighbouring character, ignoring case."""
     a, b = F.lower(a), F.lower(b)
@@ -71,17 +35,28 @@ def term_pattern(term: str) -> str:
 
 
 # Endings that make a dotted token a file name or a domain.
-EXTENSIONS = "pdf|docx?|xlsx?|pptx?|txt|csv|jpe?g|png|gif|bmp|tiff?|mp[34]|mov|wav|m4a|avi|zip|exe|dll|html?|xml|json|js|css"
-DOMAINS = "com|net|org|gov|edu|us|io|co|uk|ca|me|tv|info|biz"
-_INNER_DOT = r"^[A-Za-z0-9]{2,}\.[A-Za-z0-9._]*[A-Za-z0-9]{2,}$"
+EXTENSIONS = frozenset("pdf doc docx xls xlsx ppt pptx txt csv jpg jpeg png gif bmp tif tiff mp3 mp4 mov wav m4a avi zip exe dll htm html xml json js css".split())
+DOMAINS = frozenset("com net org gov edu us io co uk ca me tv info biz".split())
+
+
+def _measure(token: str) -> bool:
+    """An ordinal, a number with its unit, or a version: digits with a few letters at one end, or only digits and stops."""
+    low = token.lower()
+    digits = low.rstrip("abcdefghijklmnopqrstuvwxyz")
+    letters = len(low) - len(digits)
+    if letters <= 3 and digits.replace(".", "", 1).isdecimal() and digits[0] != ".":
+        return True
+    return "." in low and all(p.isdecimal() for p in low.removeprefix("v").split("."))
 
 
-def looks_like_handle(token: Column) -> Column:
+def handle_like(token: str) -> bool:
     """The shape of a user name, and not of a date, id, unit, version, file name or domain."""
-    v = F.regexp_replace(token, r"\.+$", "")
-    digit, underscore, dotted = v.rlike(r"\p{Nd}"), v.contains("_"), v.rlike(_INNER_DOT)
-    inside = F.regexp_replace(v, "^_+|_+$", "").contains("_")
-    after_dot = F.regexp_replace(v, r"^[^.]*\.", "")
-    plain = digit | ~((underscore & ~dotted & ~inside) | (~underscore & dotted & after_dot.rlike(r"\p{Lu}")))
-    other = rf"(?i)^(?:\d+(?:st|nd|rd|th)|\d+(?:\.\d+)?[a-z]{{1,3}}|v?\d+(?:\.\d+)+)$|\.(?:{EXTENSIONS}|{DOMAINS})$"
-    return F.char_length(v).between(5, 40) & v.rlike(r"\p{L}") & (digit | underscore | dotted) & v.rlike(r"\p{Ll}") & plain & ~v.rlike(other)
+    v = token.rstrip(".")
+    head, _, rest = v.partition(".")
+    digit, underscore = any(c.isdecimal() for c in v), "_" in v
+    dotted = len(head) >= 2 and head.isascii() and head.isalnum() and len(rest) >= 2 and rest[-2:].isalnum()
+    if not 5 <= len(v) <= 40 or not any(c.islower() for c in v) or not (digit or underscore or dotted):
+        return False
+    if not digit and (not dotted and "_" not in v.strip("_") if underscore else any(c.isupper() for c in rest)):
+        return False
+    return not _measure(v) and v.rpartition(".")[2].lower() not in (EXTENSIONS | DOMAINS if "." in v else ())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -12,18 +14,23 @@ from pyspark.sql import functions as F
 from umbra.functions import rects as R
 from umbra.functions.shipping import ship
 from umbra.functions.staging import written
-from umbra.operators.detect import detect_native, term_rules, rule_spans
+from umbra.operators.detect import PATTERN_RULES, Detector, detect_rules
 from umbra.operators.forms import add_form_fields, may_have_label
-from umbra.operators.names import Lexicon, add_names
+from umbra.operators.names import Lexicon, name_detector
 from umbra.operators.propagate import with_pass2
-from umbra.operators.resolve import accepted, resolve, without
+from umbra.operators.resolve import accepted, keep_best, without
 from umbra.schemas import RECT
 
 WORD_ARRAY = f"array<struct<idx:int,text:string,text_start:int,line:int,rect:{RECT}>>"
+PLACED = f"array<struct<start:int,length:int,text:string,category:string,confidence:double,rule:string,rects:array<{RECT}>>>"
+#: The detectors that run unless others are given: patterns, then names with our own lists.
+BUILT_IN: tuple[Detector, ...] = (*PATTERN_RULES, name_detector())
 
 
 @dataclass(frozen=True)
 class Options:
+    """What to detect and how. ``detectors`` replaces the built-in ones; ``(*BUILT_IN, mine)`` adds to them."""
+
     terms: list[str] = field(default_factory=list)
     threshold: float = 0.6
     propagate: bool = True
@@ -32,6 +39,12 @@ class Options:
     forms: bool = True
     keep_text: bool = True
     lexicon: Lexicon = field(default_factory=Lexicon)
+    detectors: Sequence[Detector] | None = None
+
+    def in_order(self) -> tuple[Detector, ...]:
+        if self.detectors is not None:
+            return tuple(self.detectors)
+        return (*PATTERN_RULES, name_detector(self.lexicon)) if self.names else PATTERN_RULES
 
 
 def words_of_text(text: str | None) -> list[dict]:
@@ -65,19 +78,58 @@ def merge_by_line(words: Column) -> Column:
     return F.transform(lines, lambda n: R.union_of(F.transform(F.filter(words, lambda w: w["line"] == n), lambda w: w["rect"])))
 
 
-def touching(words: Column, start: Column, length: Column) -> Column:
-    """Words that are not blank and overlap a span of the page's text."""
-    return F.filter(words, lambda w: (w["text_start"] < start + length) & (start < w["text_start"] + F.char_length(w["text"])) & (F.trim(w["text"]) != ""))
+def _line_rects(words: list[dict]) -> list[dict]:
+    """The same over one span's words, in Python."""
+    lines: dict[int, list[float]] = {}
+    for w in words:
+        r = w["rect"]
+        edges = (r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"])
+        old = lines.setdefault(w["line"], list(edges))
+        lines[w["line"]] = [min(old[0], edges[0]), min(old[1], edges[1]), max(old[2], edges[2]), max(old[3], edges[3])]
+    return [{"x": x, "y": y, "w": right - x, "h": bottom - y} for _, (x, y, right, bottom) in sorted(lines.items())]
+
+
+def placed(spans: Sequence[dict], words: Sequence[dict]) -> list[dict]:
+    """Spans that touch a word which isn't blank, with a rectangle for each line."""
+    own = sorted((w for w in words if w["text"] and w["text"].strip(" ")), key=lambda w: w["text_start"])
+    starts, longest = [w["text_start"] for w in own], max((len(w["text"]) for w in own), default=0)
+    out = []
+    for s in spans:
+        lo, hi = s["start"], s["start"] + s["length"]
+        near = own[bisect_left(starts, lo - longest) : bisect_left(starts, hi)]
+        hit = [w for w in near if w["text_start"] + len(w["text"]) > lo]
+        if hit:
+            keep = {k: s[k] for k in ("start", "length", "category", "confidence", "rule")}
+            out.append(keep | {"text": s["text"].replace("\n", " ").strip(" "), "rects": _line_rects(hit)})
+    return out
+
+
+def _plain(word: object) -> dict:
+    return word if isinstance(word, dict) else word.asDict(True)
 
 
 def to_findings(pages: DataFrame, threshold: float = 0.6, keep_text: bool = True) -> DataFrame:
-    """One row for each kept span that touches a word; a span is bounded by its page, so words and spans meet without a join."""
-    rows = pages.select("doc_id", "page", "words", F.explode_outer("spans").alias("s")).where("s is not null").withColumn("hit", touching(F.col("words"), F.col("s.start"), F.col("s.length"))).where(F.size("hit") > 0)
-    text = F.trim(F.translate("s.text", "\n", " "))
+    """One row for each span that stays when overlaps are resolved and that touches a word.
+
+    Pages without a ``words`` column have those of their plain text. One Arrow-batched pass; a span is
+    bounded by its page, so words and spans meet without a join.
+    """
+    ship(pages.sparkSession)
+    given = "words" in pages.columns
+
+    @F.pandas_udf(PLACED)
+    def found(spans: pd.Series, of: pd.Series) -> pd.Series:
+        out = []
+        for each, page in zip(spans, of, strict=True):
+            kept = keep_best(each) if each is not None else []
+            words = [_plain(w) for w in page if w is not None] if given and page is not None else words_of_text(page) if kept and not given else []
+            out.append(placed(kept, words))
+        return pd.Series(out)
+
+    rows = pages.where(F.size("spans") > 0).select("doc_id", "page", F.explode_outer(found("spans", "words" if given else "text")).alias("s")).where("s is not null")
     return rows.select(
-        "doc_id", "page", F.col("s.start").alias("start"), F.col("s.length").alias("length"), (text if keep_text else F.sha2(text.cast("binary"), 256)).alias("text"),
-        F.col("s.category").alias("category"), F.col("s.confidence").alias("confidence"), F.col("s.rule").alias("rule"), merge_by_line(F.col("hit")).alias("rects"),
-        F.lit(False).alias("is_manual"), accepted(F.col("s.category"), F.col("s.confidence"), threshold).alias("accepted"),
+        "doc_id", "page", "s.start", "s.length", (F.col("s.text") if keep_text else F.sha2(F.col("s.text").cast("binary"), 256)).alias("text"),
+        "s.category", "s.confidence", "s.rule", "s.rects", F.lit(False).alias("is_manual"), accepted(F.col("s.category"), F.col("s.confidence"), threshold).alias("accepted"),
     )
 
 
@@ -85,10 +137,7 @@ def detect(pages: DataFrame, options: Options | None = None) -> DataFrame:
     """All findings of a table of pages (doc_id, page, text, optionally words): both passes, overlap resolution, geometry."""
     o = options or Options()
     keep = ["doc_id", "page", "text", *(["words"] if "words" in pages.columns else [])]
-    base = pages.select(*keep)
-    found = detect_native(base, o.terms)
-    if o.names:
-        found = add_names(found, o.lexicon)
+    found = detect_rules(pages.select(*keep), o.terms, o.in_order())
     if o.forms:
         if "words" not in keep:  # only pages that may have a label need geometry here
             found = add_words(found, may_have_label(F.col("text")))
@@ -96,16 +145,9 @@ def detect(pages: DataFrame, options: Options | None = None) -> DataFrame:
         found = found if "words" in keep else found.drop("words")
     if o.propagate:  # pass 2 reads pass 1 several times, so it is written once
         found = with_pass2(written(found), o.lexicon)
-    found = found.where(F.size("spans") > 0)
-    if "words" not in keep:
-        found = add_words(found)
-    found = found.withColumn("spans", resolve(without(F.col("spans"), o.disabled)))
-    return to_findings(found, o.threshold, o.keep_text)
+    return to_findings(found.withColumn("spans", without(F.col("spans"), o.disabled)), o.threshold, o.keep_text)
 
 
 def find_term(pages: DataFrame, term: str, accept: bool = True) -> DataFrame:
     """Every match of a term on every page as a sure finding."""
-    base = pages if "words" in pages.columns else add_words(pages)
-    rules = term_rules([term])
-    spans = rule_spans(F.col("text"), rules[0]) if rules else F.array().cast("array<struct<start:int,length:int,category:string,confidence:double,rule:string,seq:int,text:string>>")
-    return to_findings(base.withColumn("spans", spans)).withColumn("accepted", F.lit(accept))
+    return to_findings(detect_rules(pages, [term], ())).withColumn("accepted", F.lit(accept))

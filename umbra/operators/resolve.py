@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from bisect import bisect_left, insort
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.functions.shipping import ship
 from umbra.schemas import NOT_OFFERED, SPANS
 
 
@@ -13,19 +18,29 @@ def without(spans: Column, disabled: list[str]) -> Column:
     return F.filter(spans, lambda s: ~s["category"].isin(disabled)) if disabled else spans
 
 
+def keep_best(spans: Sequence[dict]) -> list[dict]:
+    """Greedy: surest first, then longest, then earliest, then first emitted; keep what overlaps nothing kept; by start.
+
+    Kept spans don't overlap, so a candidate need only be held against its two neighbours.
+    """
+    kept: list[tuple[int, int, int]] = []
+    for n in sorted(range(len(spans)), key=lambda n: (-spans[n]["confidence"], -spans[n]["length"], spans[n]["start"], spans[n]["seq"])):
+        lo, hi = spans[n]["start"], spans[n]["start"] + spans[n]["length"]
+        at = bisect_left(kept, (lo,))
+        if hi > lo and not (at and kept[at - 1][1] > lo) and not (at < len(kept) and kept[at][0] < hi):
+            insort(kept, (lo, hi, n))
+    return [spans[n] for _, _, n in kept]
+
+
 def resolve(spans: Column) -> Column:
-    """Greedy: surest first, then longest, then earliest, then first emitted; keep what overlaps nothing kept; by start."""
-    ranked = F.array_sort(
-        F.transform(
-            F.filter(spans, lambda s: s["length"] > 0),
-            lambda s: F.struct((-s["confidence"]).alias("a"), (-s["length"]).alias("b"), s["start"].alias("c"), s["seq"].alias("d"), s.alias("s")),
-        )
-    )
-    overlaps = lambda a, b: (a["start"] < b["start"] + b["length"]) & (b["start"] < a["start"] + a["length"])
-    kept = F.aggregate(
-        ranked, F.array().cast(SPANS), lambda acc, r: F.when(F.exists(acc, lambda k: overlaps(k, r["s"])), acc).otherwise(F.concat(acc, F.array(r["s"])).cast(SPANS))
-    )
-    return F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("k"), s.alias("s")))), lambda x: x["s"])
+    """The spans of a page's array that ``keep_best`` keeps."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf(SPANS)
+    def kept(each: pd.Series) -> pd.Series:
+        return pd.Series([keep_best(x) if x is not None else None for x in each])
+
+    return kept(spans)
 
 
 def accepted(category: Column, confidence: Column, threshold: float = 0.6) -> Column:

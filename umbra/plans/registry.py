@@ -15,7 +15,7 @@ from umbra.functions import text as T
 from umbra.functions.staging import spread, written
 from umbra.operators import findings as fi
 from umbra.operators import propagate, redact, review
-from umbra.operators.detect import detect_native
+from umbra.operators.detect import detect_rules
 from umbra.operators.forms import add_form_fields
 from umbra.operators.names import add_names
 from umbra.operators.resolve import accepted, resolve
@@ -68,7 +68,7 @@ SELECT CAST(doc_id AS VARCHAR), unnest({IPV4_SQL}), 'IpAddress', CAST(0.7 AS DOU
 
 
 def _joined_values(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    found = detect_native(document_pages(spark, sf_dir), only={rule})
+    found = detect_rules(document_pages(spark, sf_dir), only={rule})
     values = F.transform("spans", lambda s: s["text"])
     return found.where(F.size("spans") > 0).select("doc_id", F.size("spans").cast("long").alias("n"), F.array_join(values, ",").alias("found"))
 
@@ -89,7 +89,7 @@ def ipv4_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _two_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SPANS_SQL can recompute; the queries that begin with ``all_`` are over every kind of finding."""
-    return _resolved(detect_native(document_pages(spark, sf_dir), only={"email", "ipv4"}))
+    return _resolved(detect_rules(document_pages(spark, sf_dir), only={"email", "ipv4"}))
 
 
 @query(
@@ -156,7 +156,7 @@ def all_summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("native_findings")
 def native_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pattern rule over every document, overlaps resolved."""
-    return _resolved(detect_native(document_pages(spark, sf_dir))).select("doc_id", "page", "start", "length", "category", "confidence", "rule", "accepted")
+    return _resolved(detect_rules(document_pages(spark, sf_dir))).select("doc_id", "page", "start", "length", "category", "confidence", "rule", "accepted")
 
 
 @query("all_findings")
@@ -183,7 +183,7 @@ def ocr_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _group_query(group: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         cases = _values(spark, tuple(t for t in fx.TEXTS if t[1] == group), "case_id, detector, text").select(F.col("case_id").alias("doc_id"), F.lit(1).alias("page"), "text")
-        rows = _resolved(detect_native(cases, only=set(fx.GROUPS[group])))
+        rows = _resolved(detect_rules(cases, only=set(fx.GROUPS[group])))
         return rows.select(F.col("doc_id").alias("case_id"), "category", "confidence", F.col("text").alias("value"))
 
     return run
@@ -213,7 +213,7 @@ def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("custom_terms", "SELECT doc_id, len(regexp_extract_all(text, '(?i)(^|[^A-Za-z0-9])the(?:$|[^A-Za-z0-9])')) > 0 AS found FROM documents WHERE text IS NOT NULL")
 def custom_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    found = detect_native(docs.select("doc_id", "text"), terms=["the"], only=set())
+    found = detect_rules(docs.select("doc_id", "text"), ["the"], ())
     return found.select("doc_id", (F.size("spans") > 0).alias("found"))
 
 
@@ -222,7 +222,7 @@ def custom_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _propagation(kind: str, rows: list[tuple]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = written(add_names(detect_native(_values(spark, fx.TWO_PAGES, "doc_id, page, text"))))
+        pages = written(add_names(detect_rules(_values(spark, fx.TWO_PAGES, "doc_id, page, text"))))
         return propagate.propagated(pages, only=kind).where("page = 2 or doc_id = 'd2'").select("doc_id", "page", "confidence", F.col("text").alias("value"))
 
     QUERIES[f"propagate_{kind}"] = run
