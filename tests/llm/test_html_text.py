@@ -50,3 +50,31 @@ def test_articles_of_the_pages_table(spark, sf_dir):
         inner = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.DOTALL)[1]
         blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*>?", " " , b.replace("<b>", ""))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert r["text"] == "\n".join(b for b in blocks if b), r["page_id"]
+
+
+BODY = f"<p>{PARA}</p><p>{PARA} Again.</p><p>{PARA} And more.</p>"
+KEPT = f"{PARA}\n{PARA} Again.\n{PARA} And more."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article class="post category-alerts">{BODY}</article>',
+        f'<article class="post tag-newsletter">{BODY}</article>',
+        f'<div class="right-sidebar">{BODY}<div class="sidebar"><ul><li><a href="y">More of it</a></li></ul></div></div>',
+        f'<div class="social-history">{BODY}</div>',
+        f'<form action="x"><div id="c">{BODY}<input><label>Mail</label></div></form>',
+        f'<div class="promo">{BODY}</div>',
+        f'<article class="post comments-open">{BODY}</article>',
+        f'<article>{BODY}</article><section class="comments">{BODY}{BODY}{BODY}</section>',
+        f'<main>{BODY}<div class="newsletter-box"><p>{PARA}</p></div></main>',
+    ],
+)
+def test_names_are_only_hints(page):
+    assert extract(f'<body><nav><a href="x">Home</a></nav>{page}<footer>All rights</footer></body>') == KEPT
+
+
+def test_letters_that_grow_when_lowered_and_page_size():
+    head = f'<script>var a = "{"İ" * 12}";</script>'
+    for filler in ("", "<!-- " + "x" * 5000 + " -->"):
+        assert extract(f"<body>{head}{filler}{BODY}</body>") == KEPT

@@ -38,11 +38,11 @@ ENDS = {
 SCOPE = frozenset("ul ol dl table body html article section main div td th".split())
 #: Elements that never hold the main text.
 OUT_TAGS = frozenset(
-    "head nav header footer aside form menu button select option input label dialog search svg math canvas object audio video map "
+    "head nav header footer aside menu button select option input label dialog search svg math canvas object audio video map "
     "fieldset legend script style noscript template iframe textarea title".split()
 )
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words in a class or id that mark such an element, alone or as the last word of a name.
+#: Words in a class or id that speak against an element: alone, as the last word of a name, or as the first before a word for its shape.
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners nav navbar "
     "navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars sidenav aside footer foot header masthead topbar toolbar cookie "
@@ -50,43 +50,54 @@ OUT_WORDS = frozenset(
     "subscription signup login share sharing social socials related recommended recommendations pagination pager comment comments disqus "
     "respond reply replies widget widgets skip form search tags outbrain taboola".split()
 )
-#: Words that mark reader comments, adverts and the like wherever they stand in a name.
+#: Words that speak against an element wherever they stand in a name.
 OUT_ANYWHERE = frozenset("ad ads advert advertisement comment comments disqus sidebar cookie cookies breadcrumb breadcrumbs newsletter sponsored".split())
-KEEP_WORDS = frozenset("article content main post entry story body text".split())
+#: Readers' words are left out however much they write.
+READERS = frozenset("comment comments disqus respond reply replies".split())
+SHAPES = frozenset(
+    "area bar block box button buttons col collapse column container content float grid group holder icons inner item items left link links list mobile outer panel primary "
+    "region right row secondary section slot stack strip thread toggle top bottom unit widget widgets wrap wrapper zone text title".split()
+)
+#: Names that begin like this tell a state or a topic, and so do those that end like that.
+ABOUT = frozenset("has with no without is category cat tag topic format type status js".split())
+STATES = frozenset("open closed enabled disabled off on count none".split())
+FREE, DOUBTFUL, DOOMED = range(3)
 
 
-def _is_out(tag: str, attributes: str) -> bool:
+def _verdict(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element can't hold main text by its nature, and what its names say of it."""
     if tag in OUT_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
+        return True, FREE
+    doubt = DOUBTFUL if tag == "form" else FREE
+    if not attributes or tag in ("html", "body"):
+        return False, doubt
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, doubt
         if name == "role" and value in OUT_ROLES:
-            return True
+            return True, doubt
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, doubt
         if name in ("class", "id"):
             for each in value.split():
                 words = NAME.findall(each)
-                if not words or words[0] in ("has", "with", "no", "without", "is"):
-                    continue
                 while len(words) > 1 and words[-1].isdigit():
                     words.pop()
-                if words[-1] in OUT_WORDS or words[0] in OUT_ANYWHERE or words[0] in OUT_WORDS and words[-1] not in KEEP_WORDS:
-                    return True
-                if any(w in OUT_ANYWHERE for w in words):
-                    return True
-    return False
+                if not words or len(words) > 1 and (words[0] in ABOUT or words[-1] in STATES):
+                    continue
+                if words[-1] in READERS or words[0] in READERS:
+                    return False, DOOMED
+                if words[-1] in OUT_WORDS or words[0] in OUT_WORDS and words[1] in SHAPES or any(w in OUT_ANYWHERE for w in words):
+                    doubt = DOUBTFUL
+    return False, doubt
 
 
 class _Page:
-    """Elements by number: parent, tag, whether it is left out; blocks of text in page order."""
+    """Elements by number: parent, tag, whether it is left out, what its names say; blocks of text in page order."""
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.out = [-1], ["#"], [False]
+        self.parent, self.tag, self.out, self.doubt = [-1], ["#"], [False], {}
         self.blocks: list[list] = []  # element, text, characters in links
         self.piece: list[str] = []
         self.linked = 0
@@ -205,12 +216,14 @@ def _parse(source: str) -> _Page:
         parent = stack[-1]
         page.parent.append(parent)
         page.tag.append(tag)
-        left_out = page.out[parent] or _is_out(tag, found[2])
+        left_out, doubt = (True, FREE) if page.out[parent] else _verdict(tag, found[2])
+        if doubt:
+            page.doubt[number] = doubt
         if left_out and tag == "header" and not page.out[parent] and any(page.tag[x] in ("article", "main") for x in stack):
             left_out = False  # an article's own header: only its headings are kept
         page.out.append(left_out)
         if tag in RAW:
-            close_at = source.lower().find(f"</{tag}", at) if len(source) < 4096 else _find_end(source, tag, at)
+            close_at = _find_end(source, tag, at)
             at = end if close_at < 0 else (source.find(">", close_at) + 1 or end)
             continue
         if self_closed:
@@ -234,30 +247,67 @@ def _find_end(source: str, tag: str, at: int) -> int:
     return found.start() if found else -1
 
 
+def _points(tag: str, text: str, linked: int) -> float:
+    """What a paragraph is worth: one, one for each comma, and up to three for its length."""
+    return 0.0 if tag in HEADINGS else 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
+
+
+def _ancestors(parent: list[int], at: int) -> Iterator[int]:
+    while at >= 0:
+        yield at
+        at = parent[at]
+
+
+def _dropped(page: _Page, blocks: list[tuple]) -> set[int]:
+    """The elements that are left out for their names.
+
+    Names are only hints: an article or main element stays, and so does an element that holds over half
+    of the page's points (links discounted) while no article or main element outside it has a quarter as
+    many. What readers write goes in any case.
+    """
+    parent, tags = page.parent, page.tag
+    points: dict[int, float] = {}
+    for at, text, linked in blocks:
+        worth = _points(tags[at], text, linked) * (1 - linked / len(text))
+        for up in _ancestors(parent, at):
+            points[up] = points.get(up, 0.0) + worth
+    homes = [k for k in points if tags[k] in ("article", "main") and page.doubt.get(k) != DOOMED]
+    gone: set[int] = set()
+    for k, doubt in page.doubt.items():  # parents come before children
+        own = points.get(k, 0.0)
+        if doubt == DOUBTFUL:
+            if tags[k] in ("article", "main"):
+                continue
+            above = set(_ancestors(parent, k))
+            outside = max((points[h] - own * (h in above) for h in homes if k not in _ancestors(parent, h)), default=0.0)
+            if own > points[0] / 2 and outside < own / 4:
+                continue
+        gone.add(k)
+    return gone
+
+
 def extract(source: str | None) -> str:
     """The main text of one page: its blocks in page order, joined by line feeds; empty if there is none."""
     if not source:
         return ""
     page = _parse(source)
     parent, tags = page.parent, page.tag
-    blocks = []
+    readable = []
     for at, text, linked in page.blocks:
-        inside = at
-        in_header = False
-        while inside > 0:
-            if tags[inside] == "header":
-                in_header = True
-            inside = parent[inside]
-        if in_header and tags[at] not in HEADINGS:
-            continue
-        blocks.append((at, text, linked))
+        if tags[at] in HEADINGS or not any(tags[up] == "header" for up in _ancestors(parent, at)):
+            readable.append((at, text, linked))
+    blocks = readable
+    if page.doubt and readable:
+        gone = _dropped(page, readable)
+        # where the names would leave nothing they are wrong
+        blocks = [b for b in readable if gone.isdisjoint(_ancestors(parent, b[0]))] or readable
     if not blocks:
         return ""
     score: dict[int, float] = {}
     chars: dict[int, int] = {}
     links: dict[int, int] = {}
     for at, text, linked in blocks:
-        points = 0.0 if tags[at] in HEADINGS else 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
+        points = _points(tags[at], text, linked)
         holder = at if tags[at] not in ("p", "pre", "blockquote", "li", "td", "th", "dd", "dt", "figcaption") and tags[at] not in HEADINGS else max(parent[at], 0)
         share, up = 1.0, holder
         depth = 0
@@ -331,11 +381,12 @@ def _is_menu(parent: list[int], tags: list[str], chars: dict, links: dict, at: i
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Main text of each page: page_id, url, text and n_chars (code points).
 
-    Elements and roles that hold menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-    styles or reader comments are left out with all they contain. Every remaining paragraph passes
-    one point, one for each comma and one for each 100 characters (three at most) to its container,
-    half to the next and less beyond; points are discounted by link density. The best container and
-    those siblings that look like text are kept, whole and in page order.
+    Elements and roles that hold menus, headers, footers, sidebars, notices, adverts, scripts or styles
+    are left out with all they contain, and so are elements whose class or id names such a thing, unless
+    they hold most of the page (see ``_dropped``). Every remaining paragraph passes one point, one for
+    each comma and one for each 100 characters (three at most) to its container, half to the next and
+    less beyond; points are discounted by link density. The best container and those siblings that look
+    like text are kept, whole and in page order.
 
     Defined cases: null, empty or textless html gives an empty text; unclosed and stray tags, open
     comments and pages cut short are read as browsers do; repeated rows stay repeated; other columns
