@@ -50,19 +50,18 @@ def class_frequencies(rows: DataFrame, terms: Callable[[str], Counter]) -> DataF
     return found.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def term_counts(rows: DataFrame, known: KnownTerms) -> list[tuple[int, dict[int, int]]]:
-    """(label, counts of the known terms) of the examples, in an order that depends on their texts alone."""
+def term_counts(rows: DataFrame, known: KnownTerms) -> list[tuple[int, dict[int, int], int]]:
+    """(label, counts of the known terms, id) of the examples, in an order that depends on their texts alone but for equal texts."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bags = [shared.value.counts(x) for x in batch["text"]]
-            yield pd.DataFrame({"y": batch["y"], "t": [list(b) for b in bags], "n": [list(b.values()) for b in bags]})
+            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "t": [list(b) for b in bags], "n": [list(b.values()) for b in bags]})
 
-    found = rows.select("y", "text").mapInPandas(count, "y int, t array<int>, n array<int>").toLocalIterator()
-    pairs = [(r["y"], dict(zip(r["t"], r["n"], strict=True))) for r in found]
-    pairs.sort(key=lambda p: (sorted(p[1].items())[:40], p[0]))
-    return pairs
+    found = rows.select(F.col("id").cast("string").alias("id"), "y", "text").mapInPandas(count, "id string, y int, t array<int>, n array<int>").toLocalIterator()
+    out = [(r["y"], dict(sorted(zip(r["t"], r["n"], strict=True))), r["id"]) for r in found]
+    return sorted(out, key=lambda p: (list(p[1].items()), p[0], p[2]))
 
 
 class KnownTerms:
@@ -72,7 +71,8 @@ class KnownTerms:
     tokens are counted by group, and there are few of these.
     """
 
-    KEPT = 200_000
+    #: Tokens that are remembered, and how long these may be; others are looked up each time.
+    KEPT, SHORT = 200_000, 64
 
     def __init__(self, vocabulary: list[str], tokens: Callable[[str], list[str]], parts: Callable[[str], list[str]], extras: Callable[[list, Counter], dict] | None = None) -> None:
         self.ids = {t: i for i, t in enumerate(vocabulary)}
@@ -121,7 +121,9 @@ class _Kept(dict):
         self.terms = terms
 
     def __missing__(self, token: str) -> int:
-        number = self[token] = self.terms.group(token)
+        number = self.terms.group(token)
+        if len(token) <= KnownTerms.SHORT:
+            self[token] = number
         return number
 
 
@@ -153,9 +155,9 @@ def document_frequencies(docs: DataFrame, known: KnownTerms) -> tuple[int, np.nd
     return total, out
 
 
-def class_weights(pairs: list, counts: dict) -> np.ndarray:
+def class_weights(y: np.ndarray, counts: dict) -> np.ndarray:
     """Weight of an example of class 0 and 1, so that the balanced sample votes like all labelled rows."""
-    have = np.bincount([y for y, _ in pairs], minlength=2)
+    have = np.bincount(np.asarray(y, dtype=np.int64), minlength=2)
     return np.array([counts.get(y, 0) / max(1, have[y]) for y in (0, 1)])
 
 

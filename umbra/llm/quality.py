@@ -18,32 +18,38 @@ from umbra.llm.labelled import KnownTerms, calibrated, class_frequencies, class_
 
 #: Labelled documents that are fitted on, half of each class; their vectors are broadcast.
 MAX_EXAMPLES = 4000
-#: Terms and dimensions of the latent space.
+#: Terms (the commonest of the examples) and dimensions of the latent space.
 MAX_TERMS, DIMENSIONS = 4096, 48
 NEIGHBOURS = 25
 #: Documents whose cosines with all examples are held at once.
 BLOCK = 512
 SHARPNESS = 8
+LONG_FORM, LONG_TOKEN = 12, 64
 
 _RUNS = ((re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "X"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "C"), (re.compile(r"[^\W\d_A-ZÀ-ÖØ-ÞXC]+"), "x"), (re.compile(r"\d+"), "9"))
 
 
 def shape_of(token: str) -> str:
-    """Form of a token: X for a run of capitals, C for one, x for small letters, 9 for digits, marks as they are."""
+    """Form of a whole token: X for a run of capitals, C for one, x for small letters, 9 for digits, marks as they are.
+
+    A longer form than LONG_FORM signs is told by the signs it has and the power of two of its length.
+    """
     if token.isalpha():
         if token.islower():
             return "~x"
         if token[0].isupper() and (len(token) == 1 or token[1:].islower()):
             return "~Cx" if len(token) > 1 else "~C"
-    found = token[:64]
+    found = token
     for pattern, letter in _RUNS:
         found = pattern.sub(letter, found)
-    return "~" + found[:12]
+    if len(found) <= LONG_FORM:
+        return "~" + found
+    return f"~{''.join(sorted(set(found)))[:LONG_FORM]}:{len(found).bit_length()}"
 
 
 def parts_of(token: str) -> list[str]:
     """The lower-case word and its form."""
-    return [token.lower()[:64], shape_of(token)]
+    return [token.lower(), shape_of(token)]
 
 
 def extras_of(tokens: list[str], bag: Counter) -> dict[str, int]:
@@ -53,6 +59,9 @@ def extras_of(tokens: list[str], bag: Counter) -> dict[str, int]:
     shares = (("again", repeated), ("distinct", len(bag)), ("commonest", max(bag.values(), default=0)))
     out = {f"~{name}:{min(9, 10 * x // max(1, n))}": 4 for name, x in shares}
     out[f"~size:{min(10, n.bit_length())}"] = 4
+    longest = max(map(len, bag), default=0)
+    if longest > LONG_TOKEN:  # what has no blanks is told by its size
+        out[f"~longest:{min(16, longest.bit_length())}"] = 4
     if repeated:
         out["~again"] = repeated
     return out
@@ -76,13 +85,13 @@ class QualityModel:
         self.known = known
         self.idf = np.log((1 + n_docs) / (1 + df)) + 1
         matrix = np.zeros((len(pairs), len(known.ids)), dtype=np.float32)
-        for row, (_, bag) in enumerate(pairs):
+        for row, (_, bag, _) in enumerate(pairs):
             ids, weights = self.weigh(bag)
             matrix[row, ids] = weights
         self.directions = _right_vectors(matrix, dimensions)
         self.points = _unit(matrix @ self.directions)
-        self.y = np.array([y for y, _ in pairs], dtype=np.float32)
-        self.w = class_weights(pairs, counts)
+        self.y = np.array([y for y, *_ in pairs], dtype=np.float32)
+        self.w = class_weights(self.y, counts)
         self.weight = self.w[self.y.astype(int)].astype(np.float32) if pairs else np.empty(0, dtype=np.float32)
         raw = np.concatenate([self.votes(self.points[i : i + BLOCK], own=i) for i in range(0, len(pairs), BLOCK)] or [np.empty(0)])
         self.steps = isotonic(raw, self.y, self.weight)
@@ -94,16 +103,22 @@ class QualityModel:
         return ids, (x / norm if norm else x).astype(np.float32)
 
     def votes(self, points: np.ndarray, own: int | None = None) -> np.ndarray:
-        """Share of class 1 among each point's nearest examples; a cosine c counts as c to the power SHARPNESS."""
+        """Share of class 1 among each point's nearest examples; a cosine c counts as c to the power SHARPNESS.
+
+        All examples as near as the last neighbour vote, so ties need no order.
+        """
         if not len(self.y):
             return np.full(len(points), 0.5)
         cosines = points @ self.points.T
         if own is not None:
             cosines[np.arange(len(points)), own + np.arange(len(points))] = -2
         k = min(NEIGHBOURS, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if k < cosines.shape[1] else np.tile(np.arange(k), (len(points), 1))
-        w = np.maximum(np.take_along_axis(cosines, near, 1), 1e-3) ** SHARPNESS * self.weight[near]
-        return (w * self.y[near]).sum(1) / w.sum(1)
+        last = np.partition(cosines, -k, axis=1)[:, -k, None]
+        w = np.where(cosines >= last, np.maximum(cosines, 1e-3), 0)
+        for _ in range(SHARPNESS.bit_length() - 1):
+            w *= w
+        w *= self.weight
+        return w @ self.y / w.sum(1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         points = np.zeros((len(texts), self.directions.shape[1]), dtype=np.float32)
@@ -146,8 +161,8 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
     """Score every whole text: ``doc`` (the input row as a struct), ``score`` and ``predicted``.
 
     Defined cases: null and empty texts have only size terms and are scored by them; with no labelled
-    example the score is 0.5; repeated rows stay repeated and score alike; ties at the last neighbour
-    are broken by the order of the examples, which depends on their texts.
+    example the score is 0.5; repeated rows stay repeated and score alike; examples tied with the last
+    neighbour all vote.
     """
     python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples and terms fitted on

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,146 +14,223 @@ from umbra.llm.common import is_held_out, python_ready, table, words_of
 from umbra.llm.labelled import KnownTerms, calibrated, class_frequencies, class_weights, document_frequencies, examples, isotonic, term_counts
 
 #: Labelled documents that are fitted on, half of each class.
-MAX_EXAMPLES = 6000
-#: Terms of the space at most; those that tell the classes apart best.
-MAX_TERMS = 20_000
-#: Chi-squared that a term needs on the examples (p below 1e-7), and examples that must hold it.
-LEAST_CHI2, LEAST_DF = 30.0, 5
+MAX_EXAMPLES = 4000
+#: The space holds every word of at least so many examples, whichever their class; the commonest where there are more words than the bound.
+LEAST_DF, MAX_TERMS = 3, 100_000
 NEIGHBOURS = 25
-BLOCK = 64
-PREFIXES = (5, 7)
+#: Examples of a block, and words whose lists are so long that they are kept as rows of a matrix.
+BLOCK, LONG_LISTS = 64, 512
+#: Parts that the examples are split into for calibration.
+FOLDS = 4
+#: Texts that are searched for at once.
+QUERIES = 256
+#: What single precision may add to a cosine; nearer calls are made in double precision.
+SLACK = 1e-4
 
 
 def parts_of(word: str) -> list[str]:
-    """A word and its beginnings."""
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+    return [word]
 
 
 def terms_of(text: str | None) -> Counter:
-    """Words and word beginnings of a whole text, with their counts."""
-    out: Counter = Counter()
-    for word, n in Counter(words_of(text)).items():
-        for part in parts_of(word):
-            out[part] += n
-    return out
+    """Lower-case words of a whole text with their counts."""
+    return Counter(words_of(text))
 
 
-def select_terms(frequencies: DataFrame, n0: int, n1: int, most: int = MAX_TERMS) -> list[str]:
-    """Terms that are commoner in class 1 than chance allows, best first; the statistics are summed up by Spark."""
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    below = (a + b) * (F.lit(float(n0 + n1)) - a - b) * float(n0) * float(n1)
-    chi2 = F.when(below > 0, (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / below).otherwise(0.0)
-    good = frequencies.where((a + b >= LEAST_DF) & (a * n0 > b * n1)).select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
-    return [r["term"] for r in good.orderBy(F.desc("chi2"), "term").limit(most).collect()]
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some ranges, one range after another, and the range that each belongs to."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), owner
+
+
+class Vectors:
+    """Sparse rows in three flat arrays."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.ptr = np.cumsum([0, *(len(i) for i, _ in rows)])
+        self.ids = np.concatenate([i for i, _ in rows]).astype(np.int32) if rows else np.empty(0, dtype=np.int32)
+        self.weights = np.concatenate([w for _, w in rows]).astype(float) if rows else np.empty(0)
+
+    def __len__(self) -> int:
+        return len(self.ptr) - 1
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.ids[self.ptr[i] : self.ptr[i + 1]], self.weights[self.ptr[i] : self.ptr[i + 1]]
+
+    def take(self, rows: np.ndarray) -> Vectors:
+        return Vectors([self.row(i) for i in rows])
 
 
 class BlockMaxIndex:
-    """Inverted index over example vectors in blocks, with each term's largest weight in each block.
+    """Inverted index over example vectors in blocks, with each word's largest weight in each block.
 
-    A query adds up its terms' block maxima, which bounds every cosine in a block, and opens blocks
-    from the largest bound down until no unopened block can reach the k-th best: the result is exact.
+    The longest lists are rows of a matrix, so what they add to each cosine comes from one product. The
+    other words' block maxima are added to the best of that in each block, which bounds every cosine
+    there; blocks are opened from the largest bound down until no unopened one can reach the k-th best.
+    Those within single precision of the k-th best are compared in double precision: the result is exact.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK) -> None:
-        self.n, self.block = len(vectors), block
-        n_blocks = -(-self.n // block)
-        self.maxima = np.zeros((n_terms, n_blocks), dtype=np.float32)
-        postings: list[list] = [[] for _ in range(n_terms)]
-        for i, vector in enumerate(vectors):
-            for t, w in vector.items():
-                postings[t].append((i, w))
-                self.maxima[t, i // block] = max(self.maxima[t, i // block], w)
-        self.maxima = np.nextafter(self.maxima, np.float32(2)) * (self.maxima > 0)
-        self.ids = [np.array([i for i, _ in p], dtype=np.int32) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.starts = [np.searchsorted(i, np.arange(n_blocks + 1) * block).astype(np.int32) for i in self.ids]
-
-    def nearest(self, vector: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a cosine over 0, nearest first, ties to the smaller number."""
-        if not vector:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        items = sorted(vector.items())
-        terms = [t for t, _ in items]
-        bounds = np.array([w for _, w in items], dtype=np.float32) @ self.maxima[terms]
+    def __init__(self, vectors: Vectors, n_terms: int, block: int = BLOCK, long_lists: int = LONG_LISTS) -> None:
+        self.vectors, self.n, self.block, self.n_terms = vectors, len(vectors), block, n_terms
+        self.n_blocks = -(-self.n // block)
+        df = np.bincount(vectors.ids, minlength=n_terms)
+        common = np.argsort(-df, kind="stable")[:long_lists]
+        common = common[df[common] > 1]
+        self.place = np.full(n_terms, -1, dtype=np.int32)
+        self.place[common] = np.arange(len(common))
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(vectors.ptr))
+        long = self.place[vectors.ids] >= 0
+        self.matrix = np.zeros((len(common), self.n_blocks * block), dtype=np.float32)
+        self.matrix[self.place[vectors.ids[long]], owner[long]] = vectors.weights[long]
+        ids, owner, weights = vectors.ids[~long], owner[~long], vectors.weights[~long]
+        order = np.lexsort((owner, ids))
+        ids, self.owner, self.weights = ids[order], owner[order], weights[order].astype(np.float32)
+        # one entry for each word and block it stands in
+        key = ids.astype(np.int64) * max(1, self.n_blocks) + self.owner // block
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+        self.starts, self.ends = first, np.r_[first[1:], len(key)] if len(first) else first
+        self.blocks = (self.owner[first] // block).astype(np.int32)
+        self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0, dtype=np.float32)
+        self.entries = np.searchsorted(ids[first], np.arange(n_terms + 1))
+
+    def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the numbers and cosines of the k nearest examples with a cosine over 0, nearest first, ties to the smaller number."""
+        dense = np.zeros((len(queries), len(self.matrix)), dtype=np.float32)
+        for row, (ids, weights) in enumerate(queries):
+            place = self.place[ids]
+            dense[row, place[place >= 0]] = weights[place >= 0]
+        partial = dense @ self.matrix
+        full = np.zeros(self.n_terms)
+        return [self._nearest(*query, partial[row], k, full) for row, query in enumerate(queries)]
+
+    def _nearest(self, ids: np.ndarray, weights: np.ndarray, scores: np.ndarray, k: int, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nothing = np.empty(0, dtype=np.int64), np.empty(0)
+        if not len(ids) or not self.n:
+            return nothing
+        rare = self.place[ids] < 0
+        entry, of = _ranges(self.entries[ids[rare]], self.entries[ids[rare] + 1])
+        factor = weights[rare].astype(np.float32)[of]
+        held = self.blocks[entry]
+        bounds = scores.reshape(self.n_blocks, self.block).max(1) + np.bincount(held, factor * self.maxima[entry], minlength=self.n_blocks) + SLACK
         order = np.argsort(-bounds, kind="stable")
-        ids, cosines, least = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        step = 4
-        at = 0
-        while at < len(order) and bounds[order[at]] > 0 and (len(ids) < k or bounds[order[at]] * 1.00001 >= least):
-            opened = np.zeros(step * self.block)
+        opened = np.zeros(self.n_blocks, dtype=bool)
+        least, at, step = 0.0, 0, 4
+        while at < len(order) and bounds[order[at]] > max(least - SLACK, SLACK):
             chosen = order[at : at + step]
-            for t, w in items:
-                own, values, starts = self.ids[t], self.weights[t], self.starts[t]
-                for place, b in enumerate(chosen):
-                    lo, hi = starts[b], starts[b + 1]
-                    if lo < hi:
-                        opened[own[lo:hi] - b * self.block + place * self.block] += w * values[lo:hi]
-            hits = np.flatnonzero(opened > 0)
-            numbers = chosen[hits // self.block] * self.block + hits % self.block
-            keep = numbers != skip
-            ids, cosines = np.append(ids, numbers[keep]), np.append(cosines, opened[hits][keep])
-            best = np.lexsort((ids, -np.round(cosines, 12)))[:k]
-            ids, cosines = ids[best], cosines[best]
-            least = cosines[-1] if len(ids) == k else 0.0
+            chosen = chosen[bounds[chosen] > max(least - SLACK, SLACK)]
+            opened[chosen] = True
+            mine = np.zeros(self.n_blocks, dtype=bool)
+            mine[chosen] = True
+            inside = mine[held]
+            posting, which = _ranges(self.starts[entry[inside]], self.ends[entry[inside]])
+            scores += np.bincount(self.owner[posting], factor[inside][which] * self.weights[posting], minlength=len(scores)).astype(np.float32)
+            seen = scores.reshape(self.n_blocks, self.block)[opened].ravel()
+            least = float(np.partition(seen, -k)[-k]) if len(seen) >= k else 0.0
             at += step
-            step = min(2 * step, 64)
-        return ids, np.minimum(cosines, 1.0)
+            step *= 2
+        near = np.flatnonzero(np.repeat(opened, self.block) & (scores >= max(least - 2 * SLACK, 0.0)))
+        near = near[near < self.n]
+        if not len(near):
+            return nothing
+        full[ids] = weights
+        where, of = _ranges(self.vectors.ptr[near], self.vectors.ptr[near + 1])
+        exact = np.bincount(of, full[self.vectors.ids[where]] * self.vectors.weights[where], minlength=len(near))
+        full[ids] = 0.0
+        best = np.lexsort((near, -np.round(exact, 12)))[:k]
+        best = best[exact[best] > 0]
+        return near[best], np.minimum(exact[best], 1.0)
 
 
 class ToxicityModel:
-    """Term space, index, votes and their calibration; a plain object that is broadcast."""
-
-    def __init__(self, pairs: list, counts: dict, known: KnownTerms, n_docs: int, df: np.ndarray, k: int = NEIGHBOURS) -> None:
-        self.k = k
-        self.known = known
-        self.terms = terms = list(known.ids)
-        self.idf = [math.log((1 + n_docs) / (1 + d)) + 1 for d in df]
-        rows = sorted(((sorted(self.vector(bag).items()), y) for y, bag in pairs), key=lambda r: [(t, -w) for t, w in r[0]])
-        self.y = np.array([y for _, y in rows], dtype=float)
-        vectors = [dict(v) for v, _ in rows]
-        self.index = BlockMaxIndex(vectors, len(terms))
-        self.w = class_weights(pairs, counts)
-        weight = self.w[self.y.astype(int)] if len(rows) else np.empty(0)
-        empty = np.array([not v for v in vectors], dtype=bool)
-        self.prior = self._rate(weight, self.y, np.ones(len(rows), dtype=bool), 0.5)
-        self.none = self._rate(weight, self.y, empty, self.prior)
-        raw = np.array([self._vote(*self.index.nearest(v, k, skip=i)) for i, v in enumerate(vectors)])
-        seen = ~np.isnan(raw)
-        self.steps = isotonic(raw[seen], self.y[seen], weight[seen])
+    """Term space, index, votes and their calibration; a plain object that is broadcast.
+
+    A word weighs (1 + log of its count) x idf over all documents x how far the examples tie it to
+    either class: the geometric mean of its absolute log odds ratio and that ratio's standard score.
+    Words of both classes and of neither are in the space; the latter weigh little.
+    """
+
+    def __init__(self, examples: list, counts: dict, known: KnownTerms, n_docs: int, df: np.ndarray, k: int = NEIGHBOURS) -> None:
+        self.k, self.known, self.terms = k, known, list(known.ids)
+        self.idf = np.log((1 + n_docs) / (1 + df)) + 1
+        self.y = np.array([y for y, *_ in examples], dtype=float)
+        self.ids = [i for *_, i in examples]
+        raw = Vectors([self.raw(bag) for _, bag, _ in examples])
+        self.w = class_weights(self.y, counts)
+        weight = self.w[self.y.astype(int)] if len(examples) else np.empty(0)
+        votes = np.full(len(examples), np.nan)
+        for fold in range(FOLDS):  # an example's own label tells nothing of the words that it is scored by
+            mine = np.arange(len(examples)) % FOLDS == fold
+            others = np.flatnonzero(~mine)
+            if mine.any() and len(others):
+                tie = self.ties(raw, others)
+                index = self.indexed(raw.take(others), tie)
+                votes[mine] = self.votes(index, [self.unit(*raw.row(i), tie) for i in np.flatnonzero(mine)], others)
+        self.tie = self.ties(raw, np.arange(len(examples)))
+        self.index = self.indexed(raw, self.tie)
+        self.empty = float((np.diff(raw.ptr) == 0).mean()) if len(examples) else 0.0
+        self.prior = self._rate(weight, self.y, np.ones(len(examples), dtype=bool), 0.5)
+        self.none = self._rate(weight, self.y, np.isnan(votes), self.prior)
+        seen = ~np.isnan(votes)
+        self.steps = isotonic(votes[seen], self.y[seen], weight[seen])
 
     @staticmethod
     def _rate(w: np.ndarray, y: np.ndarray, which: np.ndarray, prior: float) -> float:
         total = w[which].sum()
         unit = w.mean() if len(w) else 1.0
-        return float(((w * y)[which].sum() + unit * prior) / (total + unit))
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(math.fsum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in raw.items()}
+        return float(((w * y)[which].sum() + unit * prior) / (total + unit)) if total + unit else prior
+
+    def raw(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Words and TF-IDF weights, by word."""
+        ids = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
+        order = np.argsort(ids)
+        n = np.fromiter(counts.values(), dtype=float, count=len(counts))[order]
+        return ids[order], (1 + np.log(n)) * self.idf[ids[order]]
+
+    def ties(self, raw: Vectors, rows: np.ndarray) -> np.ndarray:
+        """How far some of the examples tie each word to a class."""
+        part = raw.take(rows)
+        y = np.repeat(self.y[rows], np.diff(part.ptr))
+        n1 = np.bincount(part.ids[y == 1], minlength=len(self.terms)) + 0.5
+        n0 = np.bincount(part.ids[y == 0], minlength=len(self.terms)) + 0.5
+        log_odds = np.abs(np.log(n1 / ((self.y[rows] == 1).sum() + 1)) - np.log(n0 / ((self.y[rows] == 0).sum() + 1)))
+        return np.sqrt(log_odds * log_odds / np.sqrt(1 / n1 + 1 / n0)) + 1e-6
+
+    def unit(self, ids: np.ndarray, weights: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = weights * tie[ids]
+        norm = np.sqrt((x * x).sum())
+        return ids, x / norm if norm else x
+
+    def indexed(self, raw: Vectors, tie: np.ndarray) -> BlockMaxIndex:
+        return BlockMaxIndex(Vectors([self.unit(*raw.row(i), tie) for i in range(len(raw))]), len(self.terms))
+
+    def votes(self, index: BlockMaxIndex, queries: list, of: np.ndarray) -> np.ndarray:
+        found = [f for i in range(0, len(queries), QUERIES) for f in index.nearest_many(queries[i : i + QUERIES], self.k)]
+        return np.array([self._vote(of[ids], cosines) for ids, cosines in found])
 
     def _vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of class 1 among the neighbours; a neighbour at distance 1 - cosine counts as 1 / (0.05 + distance)."""
+        """Share of class 1 among the neighbours; one at distance 1 - cosine counts as cosine / (0.05 + distance)."""
         if not len(ids):
-            return math.nan
+            return np.nan
         y = self.y[ids]
         w = cosines / (0.05 + 1 - cosines) * self.w[y.astype(int)]
-        return float((w * y).sum() / w.sum())
+        return float((w * y).sum() / w.sum()) if w.sum() else np.nan
 
-    def score(self, text: str | None) -> tuple[float, list[float], list[int], list[str]]:
-        """Probability, the neighbours' cosines and labels, and the terms that the text shares with the space."""
-        vector = self.vector(self.known.counts(text))
-        ids, cosines = self.index.nearest(vector, self.k)
-        raw = self._vote(ids, cosines)
-        p = self.none if math.isnan(raw) else float(calibrated(np.array([raw]), self.steps)[0])
-        return min(1.0, max(0.0, p)), [float(c) for c in cosines[:5]], [int(self.y[i]) for i in ids[:5]], [self.terms[t] for t in sorted(vector, key=vector.get, reverse=True)[:5]]
+    def score(self, texts: list[str | None]) -> Iterator[tuple[float, list[float], list[int], list[str], list[str]]]:
+        """Probability, the five nearest neighbours' cosines, labels and ids, and the five strongest words, of each text."""
+        queries = [self.unit(*self.raw(self.known.counts(text)), self.tie) for text in texts]
+        for (ids, cosines), (words, weights) in zip(self.index.nearest_many(queries, self.k), queries, strict=True):
+            vote = self._vote(ids, cosines)
+            p = self.none if np.isnan(vote) else float(calibrated(np.array([vote]), self.steps)[0])
+            strongest = words[np.argsort(-weights, kind="stable")[:5]]
+            yield min(1.0, max(0.0, p)), [float(c) for c in cosines[:5]], [int(self.y[i]) for i in ids[:5]], [self.ids[i] for i in ids[:5]], [self.terms[t] for t in strongest]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, label: str = "toxic") -> ToxicityModel:
     """Examples from the rows that may be learnt from; document frequencies from all documents."""
     rows, counts = examples(docs, labels, label, max_examples)
-    have = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    terms = select_terms(class_frequencies(rows, terms_of), have.get(0, 0), have.get(1, 0))
+    held = class_frequencies(rows, terms_of).select("term", F.expr("n0 + n1").alias("n")).where(F.col("n") >= LEAST_DF)
+    terms = [r["term"] for r in held.orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()]
     known = KnownTerms(terms, words_of, parts_of)
     n, df = document_frequencies(docs, known)
     return ToxicityModel(term_counts(rows, known), counts, known, n, df)
@@ -163,10 +239,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, la
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Score every whole text: doc_id, score, predicted and evidence.
 
-    ``evidence`` holds the nearest examples' cosines and labels and the strongest terms. Defined cases:
-    null, empty and evidence-free texts get the rate of class 1 among examples without evidence; with
-    no labelled example at all the score is 0.5; repeated rows stay repeated; ties between neighbours
-    go by the order of the index, which depends on the examples' texts alone; other columns are ignored.
+    ``evidence`` holds the nearest examples' cosines, labels and ids and the text's strongest words.
+    Defined cases: null and empty texts, and those without a known word, get the rate of class 1 among
+    such examples; with no labelled example at all the score is 0.5; repeated rows stay repeated; ties
+    between neighbours go by the order of the examples, which depends on their texts alone, so equal
+    texts score alike; other columns are ignored.
     """
     python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples and terms fitted on
@@ -174,18 +251,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shared.value.score(x) for x in batch["text"]]
+            texts = list(batch["text"])
+            found = [f for i in range(0, len(texts), QUERIES) for f in shared.value.score(texts[i : i + QUERIES])]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
                 "score": [f[0] for f in found],
                 "predicted": [int(f[0] >= 0.5) for f in found],
-                "evidence": [{"cosines": f[1], "labels": f[2], "terms": f[3]} for f in found],
+                "evidence": [dict(zip(("cosines", "labels", "examples", "terms"), f[1:], strict=True)) for f in found],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, predicted int, evidence struct<cosines:array<double>,labels:array<int>,terms:array<string>>")
+    evidence = "struct<cosines:array<double>,labels:array<int>,examples:array<string>,terms:array<string>>"
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, predicted int, evidence {evidence}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.col("evidence.terms").alias("evidence"))
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence.*")
