@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
+from umbra.functions.staging import written
 from umbra.llm.common import components, words_of
-from umbra.llm.ngram_join import BLOCK_DOCS, band_keys, choose_bands, links_between, ngram_join, shingles
+from umbra.llm.ngram_join import BLOCK_DOCS, band_keys, candidates, choose_bands, links_between, ngram_join, shingles, signatures
 
 SCHEMA = "doc_id long, text string"
 
@@ -75,6 +76,18 @@ def test_one_large_group_is_compared_in_blocks(spark, monkeypatch):
     assert BLOCK_DOCS > 8
 
 
+def test_a_long_chain_needs_few_tasks(spark, monkeypatch):
+    """Texts that meet their neighbours only are sent to a few blocks, though their bands join all of them."""
+    monkeypatch.setattr("umbra.llm.ngram_join.BLOCK_DOCS", 4)
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 100])) for i in range(300)]
+    assert got(spark, rows) == brute(rows)
+    bands, each = choose_bands()
+    classes = signatures(spark.createDataFrame(rows, SCHEMA), 5, bands, each).selectExpr("node", "doc_id AS rep", "1L AS copies", "bytes", "bands")
+    members, tasks = candidates(classes)
+    assert members.count() == 300 and tasks.count() < 300 * 12
+
+
 def test_chain_with_a_dissimilar_leader(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(words[8 * i : 8 * i + 120])) for i in range(9)]
@@ -83,9 +96,10 @@ def test_chain_with_a_dissimilar_leader(spark):
 
 def test_null_and_repeated_ids_extra_columns_empty_table(spark):
     text = "one two three four five six seven"
-    frame = spark.createDataFrame([(None, text, 1), (5, text, 2), (5, text, 3), (7, text + " eight", 4)], "doc_id long, text string, node int")
-    rows = {(r["doc_id"], r["class_id"]) for r in ngram_join(frame).collect()}
-    assert rows == {(None, None), (5, 5), (7, 7)}
+    other = "quite another text stands under this very number here"
+    frame = spark.createDataFrame([(None, text, 1), (5, text, 2), (5, text, 3), (7, text + " eight", 4), (3, other, 5), (7, other, 6)], "doc_id long, text string, node int")
+    rows = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in ngram_join(frame).collect())
+    assert rows == [(0, 0, 0), (3, 3, 1), (5, 5, 1), (5, 5, 1), (7, 3, 1), (7, 7, 0)]
     assert ngram_join(frame.limit(0)).count() == 0
 
 
@@ -123,6 +137,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_path_takes_steps_in_proportion_to_its_logarithm(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr("umbra.llm.common.written", lambda df: steps.append(1) or written(df))
+    path = spark.range(1, 1000).selectExpr("id AS a", "id + 1 AS b")
+    got = components(path)
+    assert got.count() == 1000 and got.where("label != 1").count() == 0
+    assert len(steps) <= 15
+
+
 def test_shingles_of_short_and_long_texts():
     assert len(shingles("a b c d e f")) == 2 and len(shingles("a b")) == 1 and len(shingles("")) == 0
     assert len(shingles("a b c d e " * 5000)) == 5

@@ -30,18 +30,17 @@ def python_ready(spark: SparkSession) -> None:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b) pairs of longs: node and label, the smallest node of its component.
+    """Connected components of (a, b) pairs: node and label, the smallest node of its component.
 
-    Every round hooks each node to its smallest neighbour, contracts the pairs and forgets doubles; the
-    rounds grow with the logarithm of the longest path. Rounds are written to the shared folder.
-    Null ends and loops are ignored.
+    Every round hooks each node to its smallest neighbour, follows these hooks to their ends by doubling
+    (so that a path of n nodes takes log n steps, whatever the order of its ids), contracts the pairs and
+    forgets doubles. Steps are written to the shared folder. Null ends and loops are ignored.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a != b").distinct()
-    pairs = written(pairs)
-    labels = None
+    pairs, labels = written(pairs), None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
+        up = _ends(written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label"))))
         if labels is None:
             labels = up
         else:
@@ -56,6 +55,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _ends(up: DataFrame) -> DataFrame:
+    """Each node's label once every chain of labels is followed to its end; a label is never larger than its node."""
+    while True:
+        step = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        further = written(up.join(step, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+        up = further.select("node", "label")
+        if further.where("moved").isEmpty():
+            return up
+
+
 def is_held_out(doc_id: Column) -> Column:
     """The fifth of the ids whose labels must not be learnt from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -18,7 +18,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Share of the pairs at exactly the wanted similarity that must meet in a band.
 RECALL = 0.99999
 MAX_BANDS = 40
-#: A block of a candidate group: documents and bytes of text that one task compares with another block.
+#: Candidates that are compared at once with another block's: documents and bytes of text.
 BLOCK_DOCS, BLOCK_BYTES = 128, 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD_IDS: dict[str, int] = {}
@@ -88,8 +88,12 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int, seed: int = 3) -> n
     return keys.view(np.int64)
 
 
+def digest_of(grams: np.ndarray) -> bytes:
+    return blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, a 128-bit digest of the n-gram set, its size, the text's bytes and the band keys."""
+    """doc_id, a hash of the text, a 128-bit digest of the n-gram set, its size, the text's bytes and the band keys."""
     python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,18 +101,40 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             sets = [shingles(t, n) for t in batch["text"]]
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(full, bands, rows)) if full else iter(())
-            digests = [np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
-                "h1": [int(d[0]) for d in digests],
-                "h2": [int(d[1]) for d in digests],
+                "text_hash": batch["text_hash"],
+                "node": [digest_of(s) for s in sets],
                 "grams": [len(s) for s in sets],
                 "bytes": [len(t) if t else 0 for t in batch["text"]],
                 "bands": [next(keys) if len(s) else [] for s in sets],
             })
 
-    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows_of.mapInPandas(run, "doc_id long, h1 long, h2 long, grams int, bytes long, bands array<long>")
+    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows_of.mapInPandas(run, "doc_id long, text_hash long, node binary, grams int, bytes long, bands array<long>")
+
+
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What must be compared: members (rep, node, copies, block) and tasks (node, i, j, side).
+
+    Texts that share a band meet. Each is put into the block of the smallest text it meets, which keeps
+    most that meet together; a large block is cut by hash. A text goes to its own block and to every
+    block that holds a text it shares a band with, so a task is a pair of blocks, and there are no more
+    tasks than the bands ask for, however long the chains that they form.
+    """
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
+    met = written(keys.join(buckets, "key"))
+    anchored = met.groupBy("node").agg(F.min("lead").alias("anchor")).join(classes.select("node", "rep", "copies", "bytes"), "node")
+    sizes = anchored.groupBy("anchor").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    members = written(anchored.join(sizes, "anchor").select("rep", "node", "copies", F.xxhash64("anchor", part).alias("block")))
+    placed = met.select("key", "node").join(members.select("node", "block"), "node")
+    others = placed.groupBy("key", "block").agg(F.lit(1).alias("one")).select("key", F.col("block").alias("other"))
+    tasks = placed.join(others, "key").select(
+        "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side")
+    )
+    return members, tasks.distinct()
 
 
 def links_between(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
@@ -159,42 +185,37 @@ def ngram_join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY,
     smallest doc_id that a chain of links leads to; n_links, the number of other documents linked
     directly, copies included.
 
-    Equal sets count as one text from the start, so copies never meet each other. Band keys are joined
-    with the smallest member of their bucket, which gives as many pairs as keys; candidate groups are
-    the components of these. Groups are compared on full n-gram sets, block against block, and only
-    counts and a spanning forest leave a task: no list of all pairs exists, and no link is lost within
-    a group however large it is.
+    Equal sets count as one text from the start, so copies never meet each other. Texts that share a band
+    are compared on their full n-gram sets, block against block (see ``candidates``), and only counts
+    and a spanning forest leave a task: no list of all pairs exists, and no link is lost however large a
+    bucket is. A set's hashes are worked out once and are what is shuffled.
 
     Defined cases: texts without words have no n-grams: they are their own class with no links. Texts of
     fewer than n words have one n-gram of all their words. A null doc_id has null classes and no links of
-    its own and is not counted in the others'. Rows that repeat a doc_id are one document; if their texts
-    differ it has the links of all of them. Other columns are ignored.
+    its own and is not counted in the others'. Rows that repeat a doc_id count as so many documents, each
+    with its own text's links; ``text_hash`` (xxhash64 of the text) tells them apart. Other columns are
+    ignored.
     """
     bands, rows = choose_bands(similarity, recall)
     sig = written(signatures(docs, n, bands, rows))
     classes = written(
         sig.where("grams > 0 and doc_id is not null")
-        .groupBy("h1", "h2")
+        .groupBy("node")
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.first("bands").alias("bands"))
     )
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
-    met = keys.join(buckets, "key").where("rep != lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    groups = components(met)
-
-    members = groups.join(classes.select(F.col("rep").alias("node"), "h1", "copies", "bytes"), "node")
-    blocks = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    members = members.join(blocks, "label").select(
-        "node", "label", "h1", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.hint("shuffle_hash"), "node")
-    dealt = (
-        texts.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-        .withColumn("side", (F.col("mine") > F.col("other")).cast("int"))
-        .select("label", "i", "j", "side", "node", "h1", "copies", "text")
-    )
-    dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    members, tasks = candidates(classes)
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                few = batch.iloc[lo : lo + 256]
+                grams = [shingles(t, n) for t in few["text"]]
+                same = [digest_of(g) == bytes(node) for g, node in zip(grams, few["node"], strict=True)]
+                yield pd.DataFrame({"node": few["node"][same], "copies": few["copies"][same], "grams": [g.view(np.int64) for g, s in zip(grams, same, strict=True) if s]})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep", "node", "copies").hint("shuffle_hash"), "rep")
+    dealt = texts.select("node", "copies", "text").mapInPandas(sets, "node binary, copies long, grams array<long>").join(tasks, "node")
+    dealt = dealt.select("i", "j", "side", "node", "copies", "grams").repartition("i", "j").sortWithinPartitions("i", "j")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group, out = None, {}, []
@@ -202,22 +223,21 @@ def ngram_join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY,
         def done() -> None:
             if len(group) > 1:
                 nodes = sorted(group)
-                sets = [group[x][2] for x in nodes]
                 side = np.array([group[x][0] for x in nodes])
-                linked = links_between(sets, side, similarity)
+                if key[0] != key[1] and side.min() == side.max():
+                    return
+                linked = links_between([group[x][2] for x in nodes], side, similarity)
                 copies = np.array([group[x][1] for x in nodes], dtype=np.int64)
                 roots, found = _forest(linked), linked @ copies
                 out.extend((nodes[x], int(found[x]), nodes[roots[x]]) for x in np.flatnonzero(found))
 
         for batch in batches:
-            for label, i, j, side, node, h1, copies, text in batch.itertuples(index=False, name=None):
-                if (label, i, j) != key:
+            for i, j, side, node, copies, grams in batch.itertuples(index=False, name=None):
+                if (i, j) != key:
                     done()
-                    key = (label, i, j)
+                    key = (i, j)
                     group.clear()
-                grams = shingles(text, n)
-                if node not in group and int(np.frombuffer(blake2b(grams.tobytes(), digest_size=16).digest(), dtype=np.int64)[0]) == h1:
-                    group[node] = (side, copies, grams)
+                group.setdefault(bytes(node), (side, copies, np.asarray(grams)))
             if out:
                 yield pd.DataFrame(out, columns=["node", "n", "root"])
                 out.clear()
@@ -225,26 +245,24 @@ def ngram_join(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY,
         if out:
             yield pd.DataFrame(out, columns=["node", "n", "root"])
 
-    found = written(dealt.mapInPandas(compare, "node long, n long, root long"))
+    found = written(dealt.mapInPandas(compare, "node binary, n long, root binary"))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = (
-        classes.select("h1", "h2", F.col("rep").alias("node"), "copies")
-        .join(counts, "node", "left")
-        .join(joined, "node", "left")
-        .select("h1", "h2", "node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("label", "node").alias("label"))
-    )
-    ids = sig.select("doc_id", F.when(F.expr("grams > 0 and doc_id is not null"), F.col("h1")).alias("h1"), "h2")
-    return ids.join(known, ["h1", "h2"], "left").select(
+    labelled = classes.select("node", "rep", "copies").join(counts, "node", "left").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
+    known = labelled.join(smallest, "label").select("node", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "class_id")
+    ids = sig.select("doc_id", "text_hash", F.when(F.expr("grams > 0 and doc_id is not null"), F.col("node")).alias("node"))
+    return ids.join(known, "node", "left").select(
         "doc_id",
-        F.coalesce("node", "doc_id").alias("copy_of"),
-        F.coalesce("label", "doc_id").alias("class_id"),
+        F.coalesce("rep", "doc_id").alias("copy_of"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+        "text_hash",
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 ORACLE = r"""
