@@ -1,5 +1,7 @@
+import hashlib
 import math
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 
@@ -39,21 +41,59 @@ def test_whole_and_interleaved(spark):
         assert [s for _, s in sorted(pairs)] == sorted(s for _, s in pairs)
 
 
-def test_query_against_driver_side_schedule(spark, sf_dir):
-    import hashlib
-
+def test_query_against_plain_rules(spark, sf_dir):
+    """Orders, blocks, windows and the bound, each worked out here from the rows' ids and the square roots of the counts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()
     counts = Counter(r["source"] for r in docs)
-    shares = slot_shares({k: math.sqrt(n) for k, n in counts.items()})
-    period = sum(shares.values())
-    slot = {(s, k): t for s, k, t in pfair_slots(shares)}
-    want = set()
+    weight = {s: Fraction(math.sqrt(n)) for s, n in counts.items()}
+    total = sum(weight.values())
+    out = query(spark, sf_dir).collect()
+    assert len(out) == len(docs)
+    at = {}
     for source in counts:
         mine = sorted((hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"]) for r in docs if r["source"] == source)
-        for n, (_, i) in enumerate(mine):
-            block = n // 64
-            want.add((i, source, block, block // shares[source] * period + slot[source, block % shares[source]], n % 64))
-    assert {(r["doc_id"], r["source"], r["block"], r["slot"], r["pos"]) for r in query(spark, sf_dir).collect()} == want
+        at |= {i: (source, n // 64, n % 64) for n, (_, i) in enumerate(mine)}
+    assert {r["doc_id"]: (r["source"], r["block"], r["pos"]) for r in out} == at
+    slots = {(r["source"], r["block"]): r["slot"] for r in out}
+    assert len(set(slots.values())) == len(slots)
+    for (s, k), slot in slots.items():  # each block within its window: a schedule that keeps to the weights by less than one block
+        w = weight[s] / total
+        assert math.floor(k / w) <= slot + 1e-6 and slot < math.ceil((k + 1) / w) + 1e-6
+    on = sorted((r["slot"], r["source"]) for r in out if r["on_target"] and r["pos"] == 0)
+    done = Counter()
+    for n, (slot, source) in enumerate(on):
+        assert slot == n
+        done[source] += 1
+        assert all(abs(done[s] - weight[s] / total * (n + 1)) < 1 for s in counts)
+
+
+def test_odd_weights(spark):
+    rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(300)] + [(None, "a")] * 5, "doc_id long, source string")
+    with pytest.raises(ValueError):
+        mix_sources(rows, weights={"a": -1, "b": 1})
+    with pytest.raises(ValueError):
+        mix_sources(rows, weights={"a": math.nan})
+    default = {tuple(r) for r in mix_sources(rows).select("doc.doc_id", "slot", "pos").collect()}
+    assert {tuple(r) for r in mix_sources(rows, weights={}).select("doc.doc_id", "slot", "pos").collect()} == default
+    equal = mix_sources(rows, weights={"a": 0, "b": 0}, block_rows=10).collect()
+    assert len(equal) == 305 and sorted({r["slot"] for r in equal})[-1] < 40
+    late = mix_sources(rows, weights={"a": 1, "b": 1, "c": 0}, block_rows=10).collect()
+    assert len(late) == 305 and max(r["slot"] for r in late if r["source_key"] != "c") < min(r["slot"] for r in late if r["source_key"] == "c" and r["block"] > 0)
+
+
+def test_less_than_a_block_off_while_all_sources_last(spark, monkeypatch):
+    monkeypatch.setattr("umbra.llm.mixing.MAX_SLOTS", 3000)
+    counts = {f"s{i:03}": 200 + i for i in range(40)} | {"big": 30000}
+    rows = spark.createDataFrame([(f"{s}-{i}", s) for s, c in counts.items() for i in range(c)], "doc_id string, source string")
+    out = mix_sources(rows, weights={s: 1 / (n + 1) for n, s in enumerate(counts)}, block_rows=1)
+    blocks = sorted((r["slot"], r["source_key"]) for r in out.where("on_target and pos = 0").select("slot", "source_key").collect())
+    total = sum(Fraction(1, n + 1) for n in range(len(counts)))
+    done = Counter()
+    for n, (slot, source) in enumerate(blocks):
+        assert slot == n
+        done[source] += 1
+        assert all(abs(done[s] - (n + 1) / (k + 1) / total) < 1 + 1e-6 for k, s in enumerate(counts))
+    assert len(blocks) <= 3000 and out.select("slot", "pos").distinct().count() == sum(counts.values())
 
 
 def test_empty_and_too_many(spark):

@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 from umbra.llm.common import local_table, table
 
-#: Slots that are scheduled one by one; the places of later blocks are computed.
-PERIOD = 1000
+#: Slots that are scheduled one by one at least and at most; the places of later blocks are computed.
+PERIOD, MAX_SLOTS = 1000, 100_000
 #: Weights are whole numbers of this total, so that a schedule of 10**11 slots is off by less than one block for it.
 GRAIN = 10**12
-#: Rows of a source that are scheduled together.
+#: Rows of a source that are scheduled together; doubled until the first source runs out within MAX_SLOTS slots.
 BLOCK_ROWS = 64
 #: The schedule and the weights are driver-side tables; more sources than this are refused.
 MAX_SOURCES = 500
-#: Rows that one task ranks.
-RANK_ROWS = 1024
+#: Rows that one task ranks at least, and how many for each square root of a source's rows: ranges are ranked in one task too.
+RANK_ROWS, RANK_ROOT = 1024, 4
 
 
 def slot_shares(weights: dict, period: int = PERIOD) -> dict:
@@ -96,35 +96,46 @@ def default_weights(counts: dict) -> dict:
 def mix_sources(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, max_sources: int = MAX_SOURCES) -> DataFrame:
     """Give each row its place in an interleaving of the sources that follows target weights.
 
-    Rows of a source are ordered by the MD5 of their doc_id and cut into blocks of ``block_rows``.
-    The first ``period`` slots follow a Pfair schedule; the place of a later block is arithmetic on the
-    steps of its source (``split_steps``), which go on from there. Both use the unrounded weights, the
+    Rows of a source are ordered by the MD5 of their doc_id and cut into blocks of ``block_rows``, or
+    so many times two of that that the first source runs out within ``MAX_SLOTS`` slots. Up to there
+    (and for ``period`` slots at least) the slots follow a Pfair schedule by the unrounded weights, so
+    every source keeps within one block of its target as long as all sources last. The place of a later
+    block is arithmetic on the steps of its source (``split_steps``), which go on from there. The
     tables are bounded and no task sees a whole source. No row is dropped or repeated: where a
     source has run out its later slots stay empty. Columns: ``doc`` (the input row as a struct),
     ``source_key``, ``block``, ``slot`` and ``pos`` (the row's place in its block); ordering by slot
     and pos is the mix. ``on_target`` is true for the slots before the first source has run out.
 
     Defined cases: a null source is the source ``""``; sources without a given weight get the
-    smallest given weight; null doc_ids come first in their source; repeated rows keep separate
-    places in any order; an empty table gives an empty result. More than ``max_sources`` sources are
-    refused with ValueError, since weights and slots are held by the driver.
+    smallest given weight; no weights at all are the default ones; a source of weight zero gets its
+    slots after all others have long run out, and if all are zero they are equal; negative, infinite
+    and NaN weights are refused with ValueError. Null doc_ids are ordered by their rows' hashes; repeated
+    rows keep separate places in any order; an empty table gives an empty result. More than
+    ``max_sources`` sources are refused with ValueError, since weights and slots are held by the driver.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source")
-    rows = docs.select(F.struct("*").alias("doc"), key, F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("_order"))
+    if weights and not all(math.isfinite(w) and w >= 0 for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
+    rows = docs.select(F.struct("*").alias("doc"), key, F.md5(F.coalesce(F.col("doc_id").cast("string"), hashed.cast("string")).cast("binary")).alias("_order"), hashed.alias("_hash"))
     counted = rows.groupBy("_source").count().limit(max_sources + 1).collect()
     if len(counted) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     counts = {r["_source"]: r["count"] for r in counted}
-    target = default_weights(counts) if weights is None else {k: weights.get(k, min(weights.values())) for k in counts}
-    period = max(period, len(counts))
+    target = {k: weights.get(k, min(weights.values())) for k in counts} if weights else default_weights(counts)
+    target = target if any(target.values()) else dict.fromkeys(target, 1.0)
     shares = slot_shares(target, GRAIN) if counts else {}
+    lasts = lambda: min((-(-counts[s] // block_rows) * GRAIN // n for s, n in shares.items()), default=0)
+    while lasts() > MAX_SLOTS:
+        block_rows *= 2
+    period = max(period, len(counts), lasts())
     first = pfair_slots(shares, period) if counts else []
     done = Counter(s for s, _, _ in first)
     steps = split_steps(shares, done)
     slots = local_table(spark, first, "_source string, _block long, _slot long")
     size = local_table(
-        spark, [(s, math.ceil(counts[s] / RANK_ROWS), *([x[i] for x in steps[s]] for i in range(3))) for s in shares],
+        spark, [(s, math.ceil(counts[s] / max(RANK_ROWS, RANK_ROOT * math.isqrt(counts[s]))), *([x[i] for x in steps[s]] for i in range(3))) for s in shares],
         "_source string, _ranges long, _a array<long>, _b array<long>, _f array<long>",
     )
     # a source's order is cut into ranges of the digest, small enough to be ranked in one task
@@ -133,7 +144,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, period: int = PERI
     starts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n")).select(
         "_source", "_bucket", (F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_n")).alias("_before")
     )
-    place = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order", F.col("doc.doc_id"), F.xxhash64(*[F.col("doc").getField(c) for c, t in docs.dtypes if "map<" not in t]))) - 1
+    place = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order", F.col("doc.doc_id"), "_hash")) - 1
     ranked = rows.withColumn("_place", place).join(starts, ["_source", "_bucket"]).withColumn("_rank", F.col("_place") + F.col("_before"))
     at = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows))
     # products of shares and slots exceed a long
