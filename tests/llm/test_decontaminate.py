@@ -79,5 +79,13 @@ def test_odd_rows_and_empty_tables(spark):
     assert find(spark, docs, items) == {(3, 1)}
     assert find(spark, docs, items[2:3]) == set()
     assert find(spark, docs[:0], items) == set()
+    assert find(spark, [(4, "this is too short, said one", "x"), (5, "too very short", "x")], items) == {(4, 3)}
     with pytest.raises(ValueError):
         dc.fit(spark.createDataFrame(docs, "doc_id long, text string, c string"), spark.createDataFrame(items, "item_id long, text string"), max_items=1)
+
+
+def test_item_ids_of_another_type(spark):
+    docs = spark.createDataFrame([(1, "so w1 w2 w3 w4 w5 w6 w7 w8 w9 it is")], "doc_id long, text string")
+    items = spark.createDataFrame([("q-1", "w1 w2 w3 w4 w5 w6 w7 w8 w9")], "item_id string, text string")
+    detector, encoded = dc.fit(docs, items)
+    assert [tuple(r)[:2] for r in dc.find_leaks(encoded, detector).collect()] == [(1, "q-1")]

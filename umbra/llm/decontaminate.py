@@ -27,10 +27,11 @@ BATCH = 64
 #: Share of a benchmark passage that must stand in the text in order; for paraphrases a smaller one
 #: will do if the passage's answer words (its rarest) are there too.
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.55, 0.7
-#: Shorter items say too little to be recognised.
+#: Shorter items say too little to be recognised by part of their words: they must stand in a text word for word.
 LEAST_WORDS = 8
-#: The benchmark is held by the driver and every executor; a larger one must be given in parts.
-MAX_ITEMS, MAX_WORDS = 50_000, 5_000_000
+#: The benchmark is held by the driver and every executor, and so is a row of the latent space for each of its terms; a larger
+#: one must be given in parts, whose results add up.
+MAX_ITEMS, MAX_WORDS, MAX_TERMS = 50_000, 5_000_000, 200_000
 
 
 def passages(n: int, size: int = PASSAGE, stride: int = STRIDE) -> list[tuple[int, int]]:
@@ -56,16 +57,20 @@ def common_words(a: list[int], masks: dict[int, int], n: int) -> int:
 
 
 class Benchmark:
-    """Passages of the benchmark over its own vocabulary."""
+    """Passages of the benchmark over its own vocabulary; short items by their first word."""
 
-    def __init__(self, items: list[tuple]) -> None:
+    def __init__(self, items: list[tuple], kind: str = "bigint") -> None:
         self.known: dict[str, int] = {}
+        self.kind = kind
+        self.brief: dict[int, list[tuple]] = {}
         self.passages: list[tuple] = []  # item, start, word numbers
         for item, text in items:
             words = words_of(text)
-            if len(words) < LEAST_WORDS:
-                continue
             ids = [self.known.setdefault(w, len(self.known)) for w in words]
+            if len(ids) < LEAST_WORDS:
+                if ids:
+                    self.brief.setdefault(ids[0], []).append((item, np.array(ids)))
+                continue
             self.passages += [(item, lo, ids[lo:hi]) for lo, hi in passages(len(ids))]
         self.masks = []
         for _, _, ids in self.passages:
@@ -246,8 +251,18 @@ class Detector:
                             near = near[near >= 0].tolist()
                             there = set(near)
                         self._compare(best[i], near, there, int(which[p]), float(cosines[w, p]))
+        for b, ids in zip(best, docs, strict=True):
+            self._verbatim(b, ids)
         return [sorted((item, *found) for item, found in b.items()) for b in best]
 
+    def _verbatim(self, best: dict, ids: np.ndarray) -> None:
+        """The short items that stand in a text word for word."""
+        if self.benchmark.brief:
+            for at in np.flatnonzero(np.isin(ids, list(self.benchmark.brief))):
+                for item, words in self.benchmark.brief[int(ids[at])]:
+                    if np.array_equal(ids[at : at + len(words)], words):
+                        best[item] = (1.0, 1.0, 1.0)
+
     def _compare(self, best: dict, near: list[int], there: set[int], p: int, cosine: float) -> None:
         item, _, words = self.benchmark.passages[p]
         n = len(words)
@@ -280,13 +295,16 @@ def fit(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS, max_w
     """Read the benchmark after a check of its size, and take the statistics of all documents; also gives the encoded documents.
 
     A benchmark of more than ``max_items`` rows or about ``max_words`` words is refused with ValueError:
-    its passages are broadcast. Null items and texts, and texts under eight words, are left out.
+    its passages are broadcast; so is one of more than ``MAX_TERMS`` different words, since the sketch
+    and the space hold a row for each. Null items and texts, and texts without words, are left out.
     """
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars")).first()
     if size["n"] > max_items or size["chars"] > 6 * max_words:
         raise ValueError("the benchmark is too large to be broadcast; give it in parts")
-    model = Benchmark([(r["item_id"], r["text"]) for r in rows.distinct().orderBy("item_id", "text").collect()])
+    model = Benchmark([(r["item_id"], r["text"]) for r in rows.distinct().orderBy("item_id", "text").collect()], dict(benchmark.dtypes)["item_id"])
+    if len(model.known) > MAX_TERMS:
+        raise ValueError("the benchmark has too many different words to be broadcast; give it in parts")
     width = DIMENSIONS + OVERSAMPLE
     encoded = encode(docs, model)
     total, df, gram = sketch(encoded, model, width)
@@ -298,7 +316,8 @@ def find_leaks(encoded: DataFrame, detector: Detector) -> DataFrame:
 
     All passages of every whole text are held against all benchmark passages in the latent space; those
     close enough must share a long common subsequence, or a shorter one with the passage's answer words.
-    Defined cases: null, empty and short texts hold nothing; repeated rows are reported each; an empty
+    Items of fewer than eight words must stand in the text word for word.
+    Defined cases: null and empty texts hold nothing; repeated rows are reported each; an empty
     benchmark or table gives an empty result; other columns are ignored.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(detector)  # bounded with the benchmark
@@ -310,7 +329,7 @@ def find_leaks(encoded: DataFrame, detector: Detector) -> DataFrame:
             out = [(doc, *hit) for doc, hits in zip(batch["doc_id"], found, strict=True) for hit in hits]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "common", "answer", "cosine"])
 
-    return encoded.mapInPandas(run, f"doc_id {kind}, item_id long, common double, answer double, cosine double")
+    return encoded.mapInPandas(run, f"doc_id {kind}, item_id {detector.benchmark.kind}, common double, answer double, cosine double")
 
 
 def is_leaky(docs: DataFrame, detector: Detector) -> DataFrame:
