@@ -17,8 +17,8 @@ from umbra.llm.common import python_ready, table
 SAMPLE = 20_000
 #: Centroids of each half.
 CENTROIDS = 32
-#: Share of all vectors, and least number, that the visited cells of a query must hold.
-SHARE, LEAST = 0.6, 2000
+#: What the visited cells of a query must hold: a share of all vectors, and so many for each neighbour that is wanted.
+SHARE, EACH = 0.6, 10
 #: Vectors of one coarse list that a task holds at once.
 BLOCK = 4096
 NEIGHBOURS = 20
@@ -85,12 +85,12 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=np.float64)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, centroids: int = CENTROIDS, share: float = SHARE, each: int = EACH, sample: int = SAMPLE) -> DataFrame:
     """The k rows of largest inner product for each query row: query_id, rank, vec_id, score.
 
     The codebooks are fitted on the ``sample`` vectors with the smallest hashes of their ids; every row
     is put into the cell of its two nearest half centroids. A query visits cells by summed inner product
-    until they hold ``share`` of all rows (``least`` at any rate) and reranks all their entries in double
+    until they hold ``share`` of all rows (``each`` rows for each of the k at any rate) and reranks all their entries in double
     precision. Rows travel once, to the block of their first centroid; a large list has many blocks, so
     equal vectors don't meet in one task; queries stream past a block.
 
@@ -125,7 +125,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, centroids:
     total = int(index.counts.sum())
     blocks = np.maximum(1, -(-index.counts.sum(1) // BLOCK))
     filled = spark.sparkContext.broadcast(index)
-    enough = max(least, int(share * total))
+    enough = max(each * k, int(share * total))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
