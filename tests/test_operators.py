@@ -1,3 +1,4 @@
+import os
 import random
 import zipfile
 from collections import Counter
@@ -237,3 +238,14 @@ def test_shapes_of_values():
         assert (rule, value) in {(s[4], s[6]) for s in scanner(text)}, text
     for text in ("+12125550147 no", "15th of May", "VIN: 1HGBH41JXMN109186_", "paid 4111 1111 1111 1112", "meet at 10:30 Main Street"):
         assert not scanner(text), (text, scanner(text))
+
+
+def test_staging_folders(spark, tmp_path):
+    from umbra.functions import staging
+
+    one = staging.written(spark.range(5))
+    path = staging._PATHS[one]
+    assert one.count() == 5 and path.startswith(staging.shared_folder(spark))
+    staging.forget(one)
+    assert not any(os.path.exists(p) for p in (path, path.removeprefix("file:")))
+    assert staging.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
