@@ -74,6 +74,30 @@ def test_run_is_the_stages(spark, sf_dir, stages):
     assert {r["doc_id"] for r in out.collect()} == set(stages[0][5])
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, slot int, line int, mix_slot int, block string, node int"
+
+
+def test_stages_with_odd_rows(spark, sf_dir):
+    """Null, empty, very long and repeated rows, clashing names, and an empty table go through every stage."""
+    words = " ".join(f"w{i % 97} v{i % 89}" for i in range(30_000))
+    plain = "A sentence that holds some words of its own, and a few more of them.\nAnother line stands here."
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, plain, "en", "s", len(plain)), (2, plain, "en", "s", len(plain)), (2, "something else, with the same number", "en", "t", 36), (3, words, "en", None, len(words)), (4, plain, "en", "s", len(plain))]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, "b", 4) for r in rows], ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        last = name == "mixing"
+        assert [c for c in out.columns if c in docs.columns or not last] == [c for c in docs.columns if c != "mix_slot" or not last] + (["mix_slot"] if last else [])
+        kept = out.collect()
+        assert len(kept) <= len(rows) and all(r["slot"] == 1 for r in kept)
+        if name == "line_dedup":
+            assert {r["doc_id"] for r in kept} == {None, 1, 2, 3}
+        if name == "near_duplicates":
+            assert sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in kept) == [(0, ""), (1, ""), (2, "A sen"), (2, "A sen"), (2, "somet"), (3, "w0 v0")]
+        if name in ("decontamination", "mixing"):
+            assert len(kept) == len(rows)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_rest_works_without_this_package(tmp_path):
     """The entry file imports and lists the other queries when this package and the pipeline are gone."""
     import subprocess

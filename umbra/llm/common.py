@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions.shipping import ship
-from umbra.functions.staging import spread, written
+from umbra.functions.staging import forget, spread, written
 
 WORD = re.compile(r"\w+")
 
-#: Rows that one Arrow batch carries to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 2000
+#: Rows and bytes that one Arrow batch carries to Python: they bound a worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def python_ready(spark: SparkSession) -> None:
-    """Ready a session for Python operators: ship this package and bound the Arrow batches; a smaller setting stays."""
+    """Ready a session for Python operators: ship this package and bound the Arrow batches; smaller settings stay.
+
+    The bounds are settings of the session: Spark has none for a single operator.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,15 +48,20 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = up
         else:
-            step = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            step, old = up.select(F.col("node").alias("label"), F.col("label").alias("next")), labels
             labels = written(labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+            forget(old)
         left = up.select(F.col("node").alias("a"), F.col("label").alias("pa"))
         right = up.select(F.col("node").alias("b"), F.col("label").alias("pb"))
+        done = pairs
         pairs = written(
             pairs.join(left, "a").join(right, "b").where("pa != pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct()
         )
+        forget(done)
+        if up is not labels:
+            forget(up)
         if pairs.isEmpty():
-            return labels
+            return labels.select("node", "label")
 
 
 def _ends(up: DataFrame) -> DataFrame:
@@ -60,7 +69,8 @@ def _ends(up: DataFrame) -> DataFrame:
     while True:
         step = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
         further = written(up.join(step, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
-        up = further.select("node", "label")
+        forget(up)
+        up = further
         if further.where("moved").isEmpty():
             return up
 
