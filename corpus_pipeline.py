@@ -11,13 +11,22 @@ from umbra.llm.common import table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Defined cases: null and empty texts are judged by their size alone; without labels every score is 0.5
+    and all stay; repeated rows stay or go together; an empty table stays empty.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model).where("predicted = 1").select("doc.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shared lines stay in the smallest doc_id only; a document that loses all its lines goes."""
+    """Shared lines stay in the smallest doc_id only; a document that loses all its lines goes.
+
+    Defined cases: null and empty texts have one empty line, which is never shared, and stay as they are;
+    n_chars is counted anew where lines went; rows that repeat a doc_id are one holder of their lines;
+    columns of any other name, also of the operator's own, pass through; an empty table stays empty.
+    """
     out = line_dedup.dedup_lines(docs).where("n_dropped < n_lines")
     changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("doc.text"))}
     if "n_chars" in docs.columns:
@@ -27,20 +36,34 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows with a null doc_id stay."""
-    gone = ngram_join.ngram_join(docs).where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    """Of each group of linked documents the one with the smallest doc_id stays.
+
+    Defined cases: rows with a null doc_id, and texts without words, stay; of rows that repeat a doc_id
+    each goes or stays by its own text; an empty table stays empty.
+    """
+    gone = ngram_join.ngram_join(docs).where("doc_id != class_id").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct()
+    same = (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_text"])
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark items go."""
+    """Documents that hold benchmark items go.
+
+    Defined cases: null and empty texts hold none and stay; without a benchmark all stay; each row is judged
+    by its own text; an empty table stays empty.
+    """
     detector, _ = decontaminate.fit(docs, table(spark, sf_dir, "benchmark"))
     return decontaminate.is_leaky(docs, detector).where("not leaky").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All remaining documents with their place in the mix: order by slot and pos."""
-    return mixing.mix_sources(docs).select("doc.*", F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"), F.col("pos").alias("mix_pos"), F.col("on_target").alias("mix_on_target"))
+    """All remaining documents with their place in the mix: order by mix_slot and mix_pos.
+
+    Defined cases: a null source is a source of its own; repeated rows have places of their own; columns
+    of the input that have the names of the places give way to them; an empty table stays empty.
+    """
+    own = {f"mix_{c}": F.col(c).alias(f"mix_{c}") for c in ("block", "slot", "pos", "on_target")}
+    return mixing.mix_sources(docs).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in own], *own.values())
 
 
 STAGES = [
