@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -113,6 +114,30 @@ class KnownTerms:
         return out
 
 
+    def present(self, text: str | None) -> list[int] | np.ndarray:
+        """The numbers of the terms that a text holds."""
+        return list(self.counts(text))
+
+
+class KnownWords(KnownTerms):
+    """The same where terms are the words themselves: whole arrays instead of dictionaries."""
+
+    def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of a text's terms, by number."""
+        words = self.tokens(text) if text else []
+        ids = np.fromiter(map(self.ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        found, n = np.unique(ids, return_counts=True)
+        lo = int(len(found) > 0 and found[0] < 0)
+        return found[lo:], n[lo:]
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        ids, n = self.arrays(text)
+        return dict(zip(ids.tolist(), n.tolist(), strict=True))
+
+    def present(self, text: str | None) -> np.ndarray:
+        return self.arrays(text)[0]
+
+
 class _Kept(dict):
     """Group numbers by token; a new token is looked up once."""
 
@@ -141,7 +166,7 @@ def document_frequencies(docs: DataFrame, known: KnownTerms) -> tuple[int, np.nd
         for batch in batches:
             for text in batch["text"]:
                 total += 1
-                seen[list(terms.counts(text))] += 1
+                seen[terms.present(text)] += 1
         held = np.flatnonzero(seen)
         yield pd.DataFrame({"t": np.append(held, -1), "n": np.append(seen[held], total)})
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import is_held_out, python_ready, table, words_of
-from umbra.llm.labelled import KnownTerms, calibrated, class_frequencies, class_weights, document_frequencies, examples, isotonic, term_counts
+from umbra.llm.labelled import KnownWords, calibrated, class_frequencies, class_weights, document_frequencies, examples, isotonic, term_counts
 
 #: Labelled documents that are fitted on, half of each class.
 MAX_EXAMPLES = 4000
@@ -20,15 +20,18 @@ LEAST_DF, MAX_TERMS = 3, 100_000
 NEIGHBOURS = 25
 #: Examples of a block, and words whose lists are so long that they are kept as rows of a matrix.
 BLOCK, LONG_LISTS = 64, 512
+#: Blocks that are opened first.
+FIRST_BLOCKS = 8
 #: Parts that the examples are split into for calibration.
 FOLDS = 4
 #: Texts that are searched for at once.
 QUERIES = 256
 #: What single precision may add to a cosine; nearer calls are made in double precision.
-SLACK = 1e-4
+SLACK = 1e-5
 
 
 def parts_of(word: str) -> list[str]:
+    """A word is one term."""
     return [word]
 
 
@@ -39,9 +42,10 @@ def terms_of(text: str | None) -> Counter:
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of some ranges, one range after another, and the range that each belongs to."""
-    sizes = ends - starts
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    return np.arange(len(owner)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), owner
+    sizes = (ends - starts).astype(np.int32)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    shift = (starts - np.cumsum(sizes) + sizes).astype(np.int32)
+    return np.arange(len(owner), dtype=np.int32) + shift[owner], owner
 
 
 class Vectors:
@@ -67,7 +71,7 @@ class BlockMaxIndex:
 
     The longest lists are rows of a matrix, so what they add to each cosine comes from one product. The
     other words' block maxima are added to the best of that in each block, which bounds every cosine
-    there; blocks are opened from the largest bound down until no unopened one can reach the k-th best.
+    there. The blocks of the largest bounds are opened, then all others that can reach the k-th best of these.
     Those within single precision of the k-th best are compared in double precision: the result is exact.
     """
 
@@ -96,50 +100,44 @@ class BlockMaxIndex:
 
     def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the numbers and cosines of the k nearest examples with a cosine over 0, nearest first, ties to the smaller number."""
-        dense = np.zeros((len(queries), len(self.matrix)), dtype=np.float32)
-        for row, (ids, weights) in enumerate(queries):
-            place = self.place[ids]
-            dense[row, place[place >= 0]] = weights[place >= 0]
-        partial = dense @ self.matrix
-        full = np.zeros(self.n_terms)
-        return [self._nearest(*query, partial[row], k, full) for row, query in enumerate(queries)]
-
-    def _nearest(self, ids: np.ndarray, weights: np.ndarray, scores: np.ndarray, k: int, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        nothing = np.empty(0, dtype=np.int64), np.empty(0)
-        if not len(ids) or not self.n:
-            return nothing
-        rare = self.place[ids] < 0
-        entry, of = _ranges(self.entries[ids[rare]], self.entries[ids[rare] + 1])
-        factor = weights[rare].astype(np.float32)[of]
-        held = self.blocks[entry]
-        bounds = scores.reshape(self.n_blocks, self.block).max(1) + np.bincount(held, factor * self.maxima[entry], minlength=self.n_blocks) + SLACK
-        order = np.argsort(-bounds, kind="stable")
-        opened = np.zeros(self.n_blocks, dtype=bool)
-        least, at, step = 0.0, 0, 4
-        while at < len(order) and bounds[order[at]] > max(least - SLACK, SLACK):
-            chosen = order[at : at + step]
-            chosen = chosen[bounds[chosen] > max(least - SLACK, SLACK)]
-            opened[chosen] = True
-            mine = np.zeros(self.n_blocks, dtype=bool)
-            mine[chosen] = True
-            inside = mine[held]
+        if not self.n or not queries:
+            return [(np.empty(0, dtype=np.int64), np.empty(0))] * len(queries)
+        rows, blocks, width = len(queries), self.n_blocks, self.n_blocks * self.block
+        ids, weights = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
+        of = np.repeat(np.arange(rows), [len(q[0]) for q in queries])
+        place = self.place[ids]
+        dense = np.zeros((rows, len(self.matrix)), dtype=np.float32)
+        dense[of[place >= 0], place[place >= 0]] = weights[place >= 0]
+        scores = (dense @ self.matrix).astype(float)
+        rare, row, factor = ids[place < 0], of[place < 0], weights[place < 0]
+        entry, which = _ranges(self.entries[rare], self.entries[rare + 1])
+        row, factor = row[which], factor[which]
+        cell = row * blocks + self.blocks[entry]
+        bounds = np.bincount(cell, factor * self.maxima[entry], minlength=rows * blocks).astype(float).reshape(rows, blocks)
+        bounds += scores.reshape(rows, blocks, self.block).max(2) + SLACK
+        mark = np.sort(bounds, axis=1)[:, -min(FIRST_BLOCKS, blocks), None]  # the best bounds' blocks are opened first
+        opened, least = np.zeros((rows, blocks), dtype=bool), np.zeros((rows, 1))
+        for chosen in (lambda: bounds >= mark, lambda: ~opened):
+            fresh = chosen() & (bounds > np.maximum(least - SLACK, SLACK))
+            opened |= fresh
+            inside = np.flatnonzero(fresh.ravel()[cell])
             posting, which = _ranges(self.starts[entry[inside]], self.ends[entry[inside]])
-            scores += np.bincount(self.owner[posting], factor[inside][which] * self.weights[posting], minlength=len(scores)).astype(np.float32)
-            seen = scores.reshape(self.n_blocks, self.block)[opened].ravel()
-            least = float(np.partition(seen, -k)[-k]) if len(seen) >= k else 0.0
-            at += step
-            step *= 2
-        near = np.flatnonzero(np.repeat(opened, self.block) & (scores >= max(least - 2 * SLACK, 0.0)))
-        near = near[near < self.n]
-        if not len(near):
-            return nothing
-        full[ids] = weights
-        where, of = _ranges(self.vectors.ptr[near], self.vectors.ptr[near + 1])
-        exact = np.bincount(of, full[self.vectors.ids[where]] * self.vectors.weights[where], minlength=len(near))
-        full[ids] = 0.0
-        best = np.lexsort((near, -np.round(exact, 12)))[:k]
-        best = best[exact[best] > 0]
-        return near[best], np.minimum(exact[best], 1.0)
+            inside = inside[which]
+            scores += np.bincount(row[inside] * width + self.owner[posting], factor[inside] * self.weights[posting], minlength=rows * width).reshape(rows, width)
+            seen = np.where(np.repeat(opened, self.block, axis=1), scores, 0.0)
+            if width >= k:
+                least = np.partition(seen, -k, axis=1)[:, -k, None]
+        at, near = np.nonzero((seen >= np.maximum(least - 2 * SLACK, 0.0)) & (seen > 0))
+        full, out = np.zeros(self.n_terms), []
+        for query, mine in zip(queries, np.split(near, np.searchsorted(at, np.arange(1, rows))), strict=True):
+            full[query[0]] = query[1]
+            where, whose = _ranges(self.vectors.ptr[mine], self.vectors.ptr[mine + 1])
+            exact = np.bincount(whose, full[self.vectors.ids[where]] * self.vectors.weights[where], minlength=len(mine))
+            full[query[0]] = 0.0
+            best = np.lexsort((mine, -np.round(exact, 12)))[:k]
+            best = best[exact[best] > 0]
+            out.append((mine[best], np.minimum(exact[best], 1.0)))
+        return out
 
 
 class ToxicityModel:
@@ -150,12 +148,12 @@ class ToxicityModel:
     Words of both classes and of neither are in the space; the latter weigh little.
     """
 
-    def __init__(self, examples: list, counts: dict, known: KnownTerms, n_docs: int, df: np.ndarray, k: int = NEIGHBOURS) -> None:
+    def __init__(self, examples: list, counts: dict, known: KnownWords, n_docs: int, df: np.ndarray, k: int = NEIGHBOURS) -> None:
         self.k, self.known, self.terms = k, known, list(known.ids)
         self.idf = np.log((1 + n_docs) / (1 + df)) + 1
         self.y = np.array([y for y, *_ in examples], dtype=float)
         self.ids = [i for *_, i in examples]
-        raw = Vectors([self.raw(bag) for _, bag, _ in examples])
+        raw = Vectors([self.raw(np.array(list(bag), dtype=np.int64), np.array(list(bag.values()), dtype=float)) for _, bag, _ in examples])
         self.w = class_weights(self.y, counts)
         weight = self.w[self.y.astype(int)] if len(examples) else np.empty(0)
         votes = np.full(len(examples), np.nan)
@@ -180,12 +178,9 @@ class ToxicityModel:
         unit = w.mean() if len(w) else 1.0
         return float(((w * y)[which].sum() + unit * prior) / (total + unit)) if total + unit else prior
 
-    def raw(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Words and TF-IDF weights, by word."""
-        ids = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
-        order = np.argsort(ids)
-        n = np.fromiter(counts.values(), dtype=float, count=len(counts))[order]
-        return ids[order], (1 + np.log(n)) * self.idf[ids[order]]
+    def raw(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and TF-IDF weights."""
+        return ids, (1 + np.log(n)) * self.idf[ids]
 
     def ties(self, raw: Vectors, rows: np.ndarray) -> np.ndarray:
         """How far some of the examples tie each word to a class."""
@@ -218,7 +213,7 @@ class ToxicityModel:
 
     def score(self, texts: list[str | None]) -> Iterator[tuple[float, list[float], list[int], list[str], list[str]]]:
         """Probability, the five nearest neighbours' cosines, labels and ids, and the five strongest words, of each text."""
-        queries = [self.unit(*self.raw(self.known.counts(text)), self.tie) for text in texts]
+        queries = [self.unit(*self.raw(*self.known.arrays(text)), self.tie) for text in texts]
         for (ids, cosines), (words, weights) in zip(self.index.nearest_many(queries, self.k), queries, strict=True):
             vote = self._vote(ids, cosines)
             p = self.none if np.isnan(vote) else float(calibrated(np.array([vote]), self.steps)[0])
@@ -231,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, la
     rows, counts = examples(docs, labels, label, max_examples)
     held = class_frequencies(rows, terms_of).select("term", F.expr("n0 + n1").alias("n")).where(F.col("n") >= LEAST_DF)
     terms = [r["term"] for r in held.orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()]
-    known = KnownTerms(terms, words_of, parts_of)
+    known = KnownWords(terms, words_of, parts_of)
     n, df = document_frequencies(docs, known)
     return ToxicityModel(term_counts(rows, known), counts, known, n, df)
 
