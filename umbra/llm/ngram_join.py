@@ -115,26 +115,27 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What must be compared: members (rep, node, copies, block) and tasks (node, i, j, side).
+    """What must be compared: members (rep, node, copies) and tasks (node, i, j, side).
 
-    Texts that share a band meet. Each is put into the block of the smallest text it meets, which keeps
-    most that meet together; a large block is cut by hash. A text goes to its own block and to every
-    block that holds a text it shares a band with, so a task is a pair of blocks, and there are no more
-    tasks than the bands ask for, however long the chains that they form.
+    Texts that share a band meet. Each joins the group of the smallest text that it meets, which keeps
+    most that meet together; a large group is cut by hash into blocks. A text is held against its own
+    group and every group that holds a text it shares a band with, block against block: a task is a
+    pair of blocks. So the tasks follow the bands, however long the chains that these form, and a bucket
+    of near copies, which are nearly all in one group, isn't joined with itself.
     """
     keys = classes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
     met = written(keys.join(buckets, "key"))
     anchored = met.groupBy("node").agg(F.min("lead").alias("anchor")).join(classes.select("node", "rep", "copies", "bytes"), "node")
     sizes = anchored.groupBy("anchor").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    members = written(anchored.join(sizes, "anchor").select("rep", "node", "copies", F.xxhash64("anchor", part).alias("block")))
-    placed = met.select("key", "node").join(members.select("node", "block"), "node")
-    others = placed.groupBy("key", "block").agg(F.lit(1).alias("one")).select("key", F.col("block").alias("other"))
-    tasks = placed.join(others, "key").select(
-        "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side")
-    )
-    return members, tasks.distinct()
+    members = written(anchored.join(sizes, "anchor").select("rep", "node", "copies", "anchor", "parts"))
+    placed = met.select("key", "node").join(members.select("node", "anchor", "parts"), "node")
+    groups = placed.groupBy("key", "anchor").agg(F.max("parts").alias("other_parts")).withColumnRenamed("anchor", "other")
+    against = placed.join(groups, "key").select("node", "anchor", "parts", "other", "other_parts").distinct()
+    own = F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = against.select("node", own.alias("block"), "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_parts") - 1)).alias("part"))
+    dealt = dealt.select("node", "block", F.xxhash64("other", "part").alias("with"))
+    return members.select("rep", "node", "copies"), dealt.select("node", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"))
 
 
 def links_between(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
