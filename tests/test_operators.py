@@ -249,3 +249,36 @@ def test_staging_folders(spark, tmp_path):
     staging.forget(one)
     assert not any(os.path.exists(p) for p in (path, path.removeprefix("file:")))
     assert staging.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_words_under_boxes_by_brute_force(spark):
+    rng = random.Random(11)
+    rect = lambda most: (rng.uniform(-20, 600), rng.uniform(-20, 780), rng.uniform(0, most), rng.uniform(0, 30))
+    words = [("d", rng.randrange(2), i, "w", rect(200)) for i in range(300)] + [("d", 0, 300, "none", None), ("d", 0, 301, "negative", (5.0, 5.0, -1.0, 5.0))]
+    boxes = [("d", rng.randrange(2), [rect(300), rect(5)], rng.random() < 0.7) for _ in range(40)]
+    kind = "struct<x:double,y:double,w:double,h:double>"
+    left = redact.surviving_words(
+        spark.createDataFrame(words, f"doc_id string, page int, idx int, text string, rect {kind}"),
+        spark.createDataFrame(boxes, f"doc_id string, page int, rects array<{kind}>, accepted boolean"),
+    )
+    padded = [(p, x - 1.5, y - 1.5, w + 3, h + 3) for _, p, rects, ok in boxes if ok for x, y, w, h in rects]
+    touched = lambda page, r: any(p == page and r[0] < x + w and x < r[0] + r[2] and r[1] < y + h and y < r[1] + r[3] for p, x, y, w, h in padded)
+    want = [i for _, page, i, _, r in words if r is None or r[2] < 0 or not touched(page, r)]
+    assert sorted(r["idx"] for r in left.collect()) == want and 50 < len(want) < 280
+
+
+def test_order_of_groups(spark):
+    rows = [("Name", 1, "b"), ("Name", 3, "z"), ("Name", 1, "A"), ("Address", 1, "q"), ("WebAddress", 9, "w")]
+    shown = {c: name for c, name, _ in CATEGORIES}
+    got = review.ordered_groups(spark.createDataFrame(rows, "category string, n_findings long, text string")).collect()
+    assert [(r["category"], r["n_findings"], r["text"]) for r in got] == sorted(rows, key=lambda r: (shown[r[0]], -r[1], r[2].lower()))
+
+
+def test_written_pages(spark, tmp_path):
+    pages = pages_of(spark, "one a@b.co two", "three", "four")
+    assert [r["page"] for r in redact.page_range(pages, 0, 2).collect()] == [1, 2] and redact.page_range(pages, 3, 99).count() == 1
+    words = fi.add_words(pages).select("doc_id", "page", F.explode("words").alias("w")).select("doc_id", "page", "w.*")
+    redact.write_redacted(words, fi.detect(pages), str(tmp_path / "out"))
+    assert {r["page"]: r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "one two", 2: "three", 3: "four"}
+    row = spark.createDataFrame([("  a \t b  \n c",)], "text string").select(files.normalised_layout(F.col("text")).alias("t")).first()
+    assert row["t"] == "a b\nc"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from umbra.functions import rects as R
 
 PADDING, DPI = 1.5, 200
+#: Side of a square of the grid in which words and boxes meet, in points.
+CELL = 72.0
 
 
 def boxes(findings: DataFrame, padding: float = PADDING, dpi: int = DPI) -> DataFrame:
@@ -21,11 +23,26 @@ def boxes(findings: DataFrame, padding: float = PADDING, dpi: int = DPI) -> Data
     )
 
 
+def _cells(r: Column) -> Column:
+    """The squares of a page's grid that a rectangle touches."""
+    across = F.sequence(F.floor(r["x"] / CELL), F.floor((r["x"] + r["w"]) / CELL))
+    down = F.sequence(F.floor(r["y"] / CELL), F.floor((r["y"] + r["h"]) / CELL))
+    return F.flatten(F.transform(down, lambda y: F.transform(across, lambda x: F.struct(x.alias("cx"), y.alias("cy")))))
+
+
 def surviving_words(words: DataFrame, findings: DataFrame, padding: float = PADDING) -> DataFrame:
-    """Words that no padded accepted rectangle of their page touches."""
-    cover = boxes(findings, padding).select("doc_id", "page", "box")
-    on = (words["doc_id"] == cover["doc_id"]) & (words["page"] == cover["page"]) & R.intersects(words["rect"], cover["box"])
-    return words.join(cover, on, "left_anti")
+    """Words that no padded accepted rectangle of their page touches.
+
+    Words and boxes meet by the squares of a grid, so a page of many words and many boxes isn't
+    compared word by box. Words without a rectangle, or with one of negative size, touch nothing.
+    """
+    cover = boxes(findings, padding).select("doc_id", "page", "box").where("box.w >= 0 and box.h >= 0")
+    cover = cover.select("doc_id", "page", "box", F.inline(_cells(F.col("box"))))
+    # a word lies in few squares; those it doesn't share with a box cost one probe each
+    place = words.where("rect.w >= 0 and rect.h >= 0").select("doc_id", "page", "idx", "rect", F.inline(_cells(F.col("rect"))))
+    same = [place[c] == cover[c] for c in ("doc_id", "page", "cx", "cy")]
+    hit = place.join(cover, [*same, R.intersects(place["rect"], cover["box"])], "left_semi").select("doc_id", "page", "idx").distinct()
+    return words.join(hit, ["doc_id", "page", "idx"], "left_anti")
 
 
 def text_layer(words: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from umbra.operators.resolve import accepted, resolve
 from umbra.plans import fixtures as fx
 from umbra.schemas import NOT_OFFERED, SPANS, categories_sql, values_sql
 from umbra.sources import files
+from umbra.streaming import inbox
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,8 +68,24 @@ SELECT CAST(doc_id AS VARCHAR), unnest({IPV4_SQL}), 'IpAddress', CAST(0.7 AS DOU
 """
 
 
-def _joined_values(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    found = detect_rules(document_pages(spark, sf_dir), only={rule})
+#: A note on every order, as Spark and DuckDB both work it out: numbers and dates that are right, and ones that are just wrong.
+_KEY, _DIGITS = "CAST(o_orderkey AS STRING)", "translate(md5(CAST(o_orderkey AS STRING)), 'abcdef', '069669')"
+_SIGN, _DASH = "substr('/-.', 1 + CAST(o_orderkey % 3 AS INT), 1)", "substr('- .', 1 + CAST(o_orderkey % 3 AS INT), 1)"
+_YMD = ("CAST(1850 + o_orderkey % 257 AS STRING)", "CAST(o_orderkey % 14 AS STRING)", "CAST(o_orderkey % 34 AS STRING)")
+NOTE_SQL = " || ".join((
+    "'Ref '", f"substr({_DIGITS}, 1, 3)", _DASH, f"substr({_DIGITS}, 4, 2)", _DASH, f"substr({_DIGITS}, 6, 4)",
+    "', on '", _YMD[1], _SIGN, _YMD[2], _SIGN, "CASE WHEN o_orderkey % 5 = 0 THEN chr(10) ELSE '' END", _YMD[0],
+    "' or '", _YMD[0], _SIGN, _YMD[1], _SIGN, _YMD[2], "', car '", f"upper(substr(md5({_KEY}), 1, CAST(15 + o_orderkey % 4 AS INT)))", "'.'",
+))
+
+
+def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes as pages. The documents hold next to no numbers of these kinds, so checks on them would compare nothing."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.expr(NOTE_SQL).alias("text"))
+
+
+def _joined_values(spark: SparkSession, sf_dir: str, rule: str, pages: DataFrame | None = None) -> DataFrame:
+    found = detect_rules(document_pages(spark, sf_dir) if pages is None else pages, only={rule})
     values = F.transform("spans", lambda s: s["text"])
     return found.where(F.size("spans") > 0).select("doc_id", F.size("spans").cast("long").alias("n"), F.array_join(values, ",").alias("found"))
 
@@ -87,6 +104,79 @@ def ipv4_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined_values(spark, sf_dir, "ipv4")
 
 
+def _runs_oracle(condition: str, value: str, cut: str = "[0-9]+|[^0-9]+") -> str:
+    """Values made of neighbours in the list ``t`` that a pattern cuts an order's note into; ``i`` is the first one's number."""
+    lists = f"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{cut}') AS t FROM (SELECT o_orderkey AS doc_id, {NOTE_SQL} AS text FROM orders)"
+    found = f"list_transform(list_filter(range(1, len(t) + 1), lambda i: {condition}), lambda i: {value})"
+    return f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(v) AS n, array_to_string(v, ',') AS found FROM (SELECT doc_id, {found} AS v FROM ({lists})) WHERE len(v) > 0"
+
+
+_MONTH_NO, _DAY_NO, _YEAR_NO = "0?[1-9]|1[0-2]", "0?[1-9]|[12][0-9]|3[01]", "(19|20)[0-9]{2}"
+_FIVE = "array_to_string(t[i:i+4], '')"
+_ALONE = "coalesce(right(t[i-1], 1), '') <> '/' AND coalesce(left(t[i+5], 1), '') <> '/'"
+
+
+def _number_dates(parts: tuple[str, str, str], gap: str) -> str:
+    a, b, c = (f"regexp_full_match(t[i+{k}], '{p}')" for k, p in zip((0, 2, 4), parts, strict=True))
+    return _runs_oracle(f"{a} AND {b} AND {c} AND t[i+1] IN ('/', '-', '.') AND regexp_full_match(t[i+3], '{gap}') AND {_ALONE}", _FIVE)
+
+
+@query(
+    "ssn_findings",
+    _runs_oracle(
+        "regexp_full_match(t[i], '[0-9]{3}') AND regexp_full_match(t[i+2], '[0-9]{2}') AND regexp_full_match(t[i+4], '[0-9]{4}') AND t[i+1] IN ('-', ' ') AND t[i+3] IN ('-', ' ') "
+        "AND t[i] NOT IN ('000', '666') AND left(t[i], 1) <> '9' AND t[i+2] <> '00' AND t[i+4] <> '0000'",
+        _FIVE,
+    ),
+)
+def ssn_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_values(spark, sf_dir, "ssn", order_notes(spark, sf_dir))
+
+
+@query("date_findings", _number_dates((_MONTH_NO, _DAY_NO, _YEAR_NO), r"[/.\-][ \t]*(\r?\n[ \t]*)?"))
+def date_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_values(spark, sf_dir, "date m/d/yyyy", order_notes(spark, sf_dir))
+
+
+@query("iso_date_findings", _number_dates((_YEAR_NO, _MONTH_NO, _DAY_NO), r"[/.\-]"))
+def iso_date_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_values(spark, sf_dir, "date yyyy/m/d", order_notes(spark, sf_dir))
+
+
+@query(
+    "vin_findings",
+    _runs_oracle("regexp_full_match(t[i], '[A-HJ-NPR-Z0-9]{17}') AND len(regexp_extract_all(t[i], '[0-9]')) BETWEEN 3 AND 14", "t[i]", "[A-Za-z0-9_]+"),
+)
+def vin_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_values(spark, sf_dir, "vin", order_notes(spark, sf_dir))
+
+
+@query(
+    "term_findings",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(hits) AS n, CAST(list_sum(list_transform(hits, lambda i: length(array_to_string(t[1:i-1], '')))) AS BIGINT) AS sum_start
+       FROM (SELECT doc_id, t, list_filter(range(1, len(t) + 1), lambda i: lower(t[i]) = 'the') AS hits
+             FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS t FROM documents)) WHERE len(hits) > 0""",
+)
+def term_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fi.find_term(document_pages(spark, sf_dir), "the")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("sum_start"))
+
+
+@query(
+    "redacted_documents",
+    r"""WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]+') AS ws FROM documents))
+        SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(string_agg(word, ' ' ORDER BY n)) AS text_md5, count(*) AS n_words FROM w WHERE len(EMAIL) = 0 GROUP BY doc_id""".replace(
+        "EMAIL", EMAIL_SQL.replace("coalesce(text, '')", "word")
+    ),
+)
+def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text layer once its e-mail addresses are redacted."""
+    pages = document_pages(spark, sf_dir)
+    words = fi.add_words(pages).select("doc_id", "page", F.explode("words").alias("w")).select("doc_id", "page", "w.*")
+    left = redact.text_layer(redact.surviving_words(words, fi.to_findings(detect_rules(pages, only={"email"}))))
+    return left.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size(F.split("text", " ")).cast("long").alias("n_words"))
+
+
 def _two_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SPANS_SQL can recompute; the queries that begin with ``all_`` are over every kind of finding."""
     return _resolved(detect_rules(document_pages(spark, sf_dir), only={"email", "ipv4"}))
@@ -375,6 +465,50 @@ def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.full_text(turns)
 
 
+@query(
+    "load_reports",
+    r"""SELECT CAST(conv_id AS VARCHAR) AS doc_id, count(*) AS n_pages, count(*) FILTER (n_words < 3 OR length(regexp_replace(text, '[^\p{L}\p{Nd}]', '', 'g')) < 0.3 * length(text)) AS ocr_pages,
+        CASE WHEN count(*) FILTER (lost) > 0 THEN 'no text' ELSE '' END AS warnings
+        FROM (SELECT conv_id, coalesce(text, '') AS text, text IS NULL AS lost, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]+')) AS n_words FROM conversations) GROUP BY conv_id""",
+)
+def load_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a document and each turn as a page."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("string").alias("doc_id"), "text")
+    text = F.coalesce("text", F.lit(""))
+    gate = files.needs_ocr(F.regexp_count(text, F.lit(r"\S+")), text)
+    pages = turns.select("doc_id", gate.alias("from_ocr"), F.lit("turns").alias("note"), F.when(F.col("text").isNull(), "no text").alias("warning"))
+    return files.load_report(pages).select("doc_id", "n_pages", "ocr_pages", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(
+    "file_names",
+    r"""SELECT page_id, regexp_replace(url, '\.[^./\\]*$', '') || '-REDACTED.pdf' AS redacted,
+        regexp_extract(url, '([^/]*?)(\.[^./]*)?$', 1) || '-20240102-030405-' || left(md5(url), 8) || regexp_extract(url, '(\.[^./]*)$', 1) AS received FROM pages""",
+)
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that files at the pages' addresses get when they are taken in and when they are written redacted."""
+    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    taken = F.to_timestamp_ntz(F.lit("2024-01-02 03:04:05"))
+    return urls.select("page_id", redact.output_name(F.col("url")).alias("redacted"), inbox.received_name(F.col("url"), taken).alias("received"))
+
+
+@query(
+    "page_sizes",
+    f"""SELECT case_id, page_w * 72.0 / CASE WHEN rotation > 0 THEN rotation ELSE 96.0 END AS width, page_h * 72.0 / CASE WHEN rotation > 0 THEN rotation ELSE 96.0 END AS height,
+        CAST(least(greatest(floor(180000 / greatest(page_w, page_h)), 96), 300) AS BIGINT) AS dpi, CASE WHEN x > 20 THEN x ELSE page_w END AS shown, x * 72.0 / 110 AS points
+        FROM {values_sql(list(fx.RECTS), 'case_id, x, y, w, h, rotation, page_w, page_h')}""",
+)
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _values(spark, fx.RECTS, "case_id, x, y, w, h, rotation, page_w, page_h")
+    wide, high = F.col("page_w").cast("double"), F.col("page_h").cast("double")
+    size = files.image_page(wide, high, F.col("rotation").cast("double"))
+    drawn = F.when(F.col("x") > 20, F.col("x").cast("double"))
+    return rows.select(
+        "case_id", size["width"].alias("width"), size["height"].alias("height"), files.ocr_dpi(wide, high).cast("long").alias("dpi"),
+        files.reconciled(drawn, wide).alias("shown"), review.to_points(F.col("x").cast("double")).alias("points"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
