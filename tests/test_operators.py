@@ -282,3 +282,17 @@ def test_written_pages(spark, tmp_path):
     assert {r["page"]: r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "one two", 2: "three", 3: "four"}
     row = spark.createDataFrame([("  a \t b  \n c",)], "text string").select(files.normalised_layout(F.col("text")).alias("t")).first()
     assert row["t"] == "a b\nc"
+
+
+def test_plain_text_layer_is_the_layer_of_surviving_words(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab é😀 \t\r\n") for _ in range(rng.randrange(80))) for _ in range(60)] + ["", None]
+    spans = [
+        [(rng.randrange(len(t)), rng.randrange(12), rng.choice(["Name", "Date"]), rng.choice([0.5, 0.7, 0.9]), "r", n, "") for n in range(rng.randrange(9))] if t else [] for t in texts
+    ]
+    pages = spark.createDataFrame([(f"d{i // 2}", i % 2, t, s) for i, (t, s) in enumerate(zip(texts, spans, strict=True))], f"doc_id string, page int, text string, spans {SPANS}")
+    words = fi.add_words(pages).select("doc_id", "page", F.explode("words").alias("w")).select("doc_id", "page", "w.*")
+    want = redact.text_layer(redact.surviving_words(words, fi.to_findings(pages))).collect()
+    got = redact.plain_text_layer(pages).collect()
+    assert sorted(got) == sorted(want) and 40 < len(got)
+    assert sum(len(r["text"].split(" ")) for r in got) < words.count() - 50

@@ -8,31 +8,16 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.functions.shipping import ship
+from umbra.functions.shipping import python_ready as python_ready
 from umbra.functions.staging import forget, spread, written
 
 WORD = re.compile(r"\w+")
 
-#: Rows and bytes that one Arrow batch carries to Python: they bound a worker's memory when texts are long.
-BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def python_ready(spark: SparkSession) -> None:
-    """Ready a session for Python operators: ship this package and bound the Arrow batches; smaller settings stay.
-
-    The bounds are settings of the session: Spark has none for a single operator.
-    """
-    ship(spark)
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key).rstrip("bB")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) pairs: node and label, the smallest node of its component.
 
