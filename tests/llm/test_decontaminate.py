@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 
 from umbra.llm import decontaminate as dc
@@ -89,3 +91,47 @@ def test_item_ids_of_another_type(spark):
     items = spark.createDataFrame([("q-1", "w1 w2 w3 w4 w5 w6 w7 w8 w9")], "item_id string, text string")
     detector, encoded = dc.fit(docs, items)
     assert [tuple(r)[:2] for r in dc.find_leaks(encoded, detector).collect()] == [(1, "q-1")]
+
+
+def test_few_passages_are_compared_word_by_word(spark, sf_dir, monkeypatch):
+    """Passages that only look alike in the latent space are told apart before their words are compared, and no find is lost by that."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [r["text"] for r in docs.collect()]
+    detector, _ = dc.fit(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    calls, compare = [], dc.Detector._compare
+    monkeypatch.setattr(dc.Detector, "_compare", lambda *args: calls.append(1) or compare(*args))
+    found = detector.hits_of(texts)
+    assert any(found) and len(calls) <= 2 * len(texts)
+    few = len(calls)
+    detector.least = detector.least - 10**6  # every passage of a near enough vector is compared
+    assert detector.hits_of(texts) == found and len(calls) > 10 * few
+
+
+def test_sketch_against_brute_force(spark):
+    """Passages of 32 words' own counts, for texts of many lengths and more passages than are added up at once."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(0, 200))) for _ in range(50)] + ["b a " * 40_000, None, "", "z"]
+    model = dc.Benchmark([(1, "a b c d e f g h i j k l")])
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkey, dc.SKETCHED = dc.SKETCHED, 16
+    try:
+        total, df, got = dc.sketch(dc.encode(frame, model), model, 5)
+    finally:
+        dc.SKETCHED = monkey
+    column, sign = dc.test_matrix(12, 5, 17)
+    want, held = np.zeros((12, 5)), np.zeros(12)
+    for text in texts:
+        ids = model.ids(text)
+        held[np.unique(ids[ids >= 0])] += 1
+        for lo in range(0, len(ids), dc.PASSAGE):
+            n = np.bincount(ids[lo : lo + dc.PASSAGE][ids[lo : lo + dc.PASSAGE] >= 0], minlength=12).astype(float)
+            part = np.bincount(column, weights=n * sign, minlength=5)
+            want += n[:, None] * part
+    assert total == len(texts) and (df == held).all() and np.allclose(got, want)
+
+
+def test_words_of_any_text():
+    rng = random.Random(1)
+    every = [chr(i) for i in range(256)]
+    for text in [*every, "".join(every), *("".join(rng.choices(every + list("ΣİǅЖ漢’  "), k=40)) for _ in range(500)), "ΑΣ ΑΣ’", "", None]:
+        assert words_of(text) == re.findall(r"\w+", (text or "").lower())

@@ -12,6 +12,8 @@ from umbra.functions.shipping import python_ready as python_ready
 from umbra.functions.staging import forget, spread, written
 
 WORD = re.compile(r"\w+")
+#: Latin-1 characters by what ``words_of`` makes of each: lower case, or a blank where it is no part of a word.
+_LATIN = bytes(ord(c) if WORD.match(c := chr(i).lower()) else 32 for i in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +68,13 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Lower-case words of a text; Latin-1 texts go through a table: there no character's lower case depends on its neighbours."""
+    if not text:
+        return []
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(text.lower())
 
 
 def local_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:

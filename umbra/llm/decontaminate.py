@@ -22,8 +22,12 @@ COSINE = 0.5
 SHORT = 20
 #: Words of a block, of which a text's passages are put together.
 BLOCK = 8
-#: Texts whose passages are multiplied with the benchmark's at once.
-BATCH = 64
+#: Texts whose passages are multiplied with the benchmark's at once, and blocks of a stretch of them.
+BATCH, STRETCH = 64, 2048
+#: Passages that the sketch adds up at once.
+SKETCHED = 16384
+#: Bits of the sets that bound how many words a stretch and a passage can share.
+BITS = 256
 #: Share of a benchmark passage that must stand in the text in order; for paraphrases a smaller one
 #: will do if the passage's answer words (its rarest) are there too.
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.55, 0.7
@@ -87,7 +91,8 @@ class Benchmark:
 
     def ids(self, text: str | None) -> np.ndarray:
         """Numbers of a text's words in order, -1 for words that no benchmark item has."""
-        return np.array(list(map(self.known.get, words_of(text), repeat(-1))), dtype=np.int64)
+        words = words_of(text)
+        return np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
 
 def encode(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
@@ -128,7 +133,7 @@ def sketch(encoded: DataFrame, benchmark: Benchmark, width: int, seed: int = 17)
                     groups.append(at + place // PASSAGE)
                     df[np.unique(rows[-1])] += 1
                     at += len(ids) // PASSAGE + 1
-                if len(rows) >= 256:
+                if at >= SKETCHED:
                     _add(out, test, rows, groups)
                     rows, groups, at = [], [], 0
             if rows:
@@ -164,7 +169,9 @@ def _add(out: np.ndarray, test: tuple[np.ndarray, np.ndarray], rows: list, group
     order = np.argsort(ids.astype(np.uint16) if len(out) < 65536 else ids, kind="stable")
     ids, of = ids[order], of[order]
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    out[ids[first]] += np.add.reduceat(sums[of], first, axis=0)
+    # a sum for each term: adding whole rows up is many times faster than reduceat along the other axis
+    for term, lo, hi in zip(ids[first].tolist(), first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+        out[term] += sums[of[lo:hi]].sum(0)
 
 
 class Detector:
@@ -189,12 +196,21 @@ class Detector:
             directions = directions[:, :real] / strength[:real]
         else:
             directions = root
-        self.space = (idf[:, None] * directions).astype(np.float32)
+        # the last row, which is also row -1, is that of all words that no item has
+        self.space = np.vstack([idf[:, None] * directions, np.zeros((1, directions.shape[1]))]).astype(np.float32)
         self.points = _unit(np.array([self.space[ids].sum(0) for _, _, ids in benchmark.passages], dtype=np.float32).reshape(len(benchmark.passages), directions.shape[1]))
         self.short = np.array([i for i, (_, _, ids) in enumerate(benchmark.passages) if len(ids) <= SHORT], dtype=np.int64)
         order = np.argsort(-idf, kind="stable")
         place = np.empty(len(idf), dtype=np.int64)
         place[order] = np.arange(len(idf))
+        # each word is one of the bits; words that share a bit, and repeated words, may count once too often but never too seldom
+        self.bits = np.zeros((len(idf) + 1, BITS // 64), dtype=np.uint64)
+        words = np.arange(len(idf))
+        self.bits[words, words % BITS // 64] = np.uint64(1) << (words % 64).astype(np.uint64)
+        own = [np.bitwise_or.reduce(self.bits[ids], axis=0) for _, _, ids in benchmark.passages]
+        self.sets = np.array(own, dtype=np.uint64).reshape(len(own), BITS // 64)
+        lengths = np.array([len(ids) for _, _, ids in benchmark.passages], dtype=np.int64)
+        self.least = PARAPHRASE * lengths - (lengths - np.bitwise_count(self.sets).sum(1, dtype=np.int64))
         # the third of a passage's words that is rarest in the corpus answers for its content
         self.answers = [frozenset(sorted(set(ids), key=lambda t: place[t])[: max(2, len(set(ids)) // 3)]) for _, _, ids in benchmark.passages]
 
@@ -214,27 +230,20 @@ class Detector:
     def _some(self, docs: list[np.ndarray]) -> list[list[tuple]]:
         best: list[dict] = [{} for _ in docs]
         if len(self.points) and any(len(d) for d in docs):
-            owner, at = [], []
-            for i, ids in enumerate(docs):
-                n = -(-len(ids) // BLOCK)
-                owner.append(np.full(n, i))
-                at.append(np.arange(n) * BLOCK)
-            owner, at = np.concatenate(owner), np.concatenate(at)
-            offsets = np.cumsum([0, *(len(d) for d in docs)])
-            flat = np.concatenate(docs)
-            for lo in range(0, len(at), 8192):  # long texts go in stretches; three more blocks complete the last passage
-                hi = min(lo + 8195, len(at))
-                starts = offsets[owner[lo:hi]] + at[lo:hi]
-                end = offsets[owner[hi - 1]] + min(at[hi - 1] + BLOCK, len(docs[owner[hi - 1]]))
-                words = flat[starts[0] : end]
-                known = np.flatnonzero(words >= 0)
-                bounds = np.searchsorted(known, starts - starts[0])
-                held = np.flatnonzero(np.diff(np.r_[bounds, len(known)]))  # blocks with a word of the benchmark's
-                one = np.zeros((hi - lo, self.space.shape[1]), dtype=np.float32)
-                if len(held):
-                    one[held] = np.add.reduceat(self.space[words[known]], bounds[held], axis=0)
+            sizes = np.array([-(-len(ids) // BLOCK) for ids in docs])
+            firsts = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(docs)), sizes)
+            at = (np.arange(len(owner)) - firsts[owner]) * BLOCK
+            words = np.full((len(owner), BLOCK), -1)
+            for first, ids in zip((firsts * BLOCK).tolist(), docs, strict=True):
+                words.ravel()[first : first + len(ids)] = ids
+            for lo in range(0, len(at), STRETCH):  # long texts go in stretches; three more blocks complete the last passage
+                hi = min(lo + STRETCH + 3, len(at))
+                one, more = self.space[words[lo:hi, 0]], np.empty((hi - lo, self.space.shape[1]), dtype=np.float32)
+                for k in range(1, BLOCK):
+                    one += np.take(self.space, words[lo:hi, k], axis=0, out=more, mode="wrap")
                 two = _with_next(one, owner[lo:hi], 1)
-                stop = min(8192, hi - lo)
+                stop = min(STRETCH, hi - lo)
                 every = np.arange(stop)
                 whole = np.flatnonzero(at[lo : lo + stop] % STRIDE == 0)
                 four = _with_next(two, owner[lo:hi], 2)
@@ -242,8 +251,10 @@ class Detector:
                     if not len(which):
                         continue
                     cosines = _unit(sums[rows]) @ self.points[which].T
+                    w, p = np.divmod(np.flatnonzero(cosines.ravel() >= COSINE), len(which))
+                    fit = self._can_hold(words, lo + rows[w], which[p], firsts[owner[lo + rows[w]]], sizes[owner[lo + rows[w]]])
                     last, near, there = -1, [], set()
-                    for w, p in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE)), strict=True):
+                    for w, p in zip(w[fit].tolist(), p[fit].tolist(), strict=True):
                         i = owner[lo + rows[w]]
                         if w != last:  # one passage of the text meets several of the benchmark's
                             last, start = w, int(at[lo + rows[w]])
@@ -255,6 +266,14 @@ class Detector:
             self._verbatim(b, ids)
         return [sorted((item, *found) for item, found in b.items()) for b in best]
 
+    def _can_hold(self, words: np.ndarray, block: np.ndarray, passage: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether enough of a passage's words can stand around a block, in any order; false only where ``_compare`` finds too few for sure."""
+        new = np.r_[True, block[1:] != block[:-1]][: len(block)]
+        span = block[new, None] + np.arange(-STRIDE // BLOCK, (PASSAGE + STRIDE) // BLOCK)
+        span = np.clip(span, first[new, None], (first + size)[new, None] - 1)
+        around = np.bitwise_or.reduce(self.bits[words[span]], axis=(1, 2))
+        return np.bitwise_count(around[np.cumsum(new) - 1] & self.sets[passage]).sum(1, dtype=np.int64) >= self.least[passage]
+
     def _verbatim(self, best: dict, ids: np.ndarray) -> None:
         """The short items that stand in a text word for word."""
         if self.benchmark.brief:
@@ -281,8 +300,9 @@ class Detector:
 def _with_next(sums: np.ndarray, owner: np.ndarray, step: int) -> np.ndarray:
     """Each row with the row ``step`` further on, if that belongs to the same text."""
     out = sums.copy()
-    same = np.flatnonzero(owner[:-step] == owner[step:])
-    out[same] += sums[same + step]
+    out[:-step] += sums[step:]
+    apart = np.flatnonzero(owner[:-step] != owner[step:])
+    out[apart] = sums[apart]
     return out
 
 
