@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbra.llm import quality, toxicity
-from umbra.llm.common import is_held_out
-from umbra.llm.labelled import isotonic
+from umbra.llm.common import is_held_out, words_of
+from umbra.llm.labelled import KnownWords, document_frequencies, isotonic
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -96,6 +96,38 @@ def test_block_max_search_is_exact(long_lists):
         assert list(ids) == [i for i, _ in want]
 
 
+def test_a_batch_is_searched_as_a_whole(monkeypatch):
+    """As many steps for many texts as for a few, but for one part after another; texts without words or neighbours among them."""
+    rng = random.Random(4)
+    rows = [{t: rng.random() for t in sorted(rng.sample(range(200), rng.randrange(0, 9)))} for _ in range(600)]
+    packed = [(np.array(list(v), dtype=np.int64), np.array(list(v.values())) / 4) for v in rows]
+    index = toxicity.BlockMaxIndex(toxicity.Vectors(packed), 201, block=8, long_lists=20)
+    queries = [*packed[:150], (np.array([200]), np.ones(1)), (np.empty(0, dtype=np.int64), np.empty(0))]
+    steps, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda *args: steps.append(1) or ranges(*args))
+    found = index.nearest_many(queries, 10)
+    assert len(steps) <= 20
+    for (ids, weights), (near, cosines) in zip(queries, found, strict=True):
+        full = np.zeros(201)
+        full[ids] = weights
+        dots = np.array([full[i] @ w for i, w in packed])
+        want = sorted(np.flatnonzero(dots > 0).tolist(), key=lambda i: (-round(dots[i], 12), i))[:10]
+        assert near.tolist() == want and np.allclose(cosines, np.minimum(dots[want], 1), atol=1e-12)
+    assert index.nearest_many([], 10) == [] and [len(x) for x, _ in index.nearest_many(queries[-2:], 10)] == [0, 0]
+
+
+def test_counts_of_known_words(spark):
+    """Terms of a text by number, and the documents that hold each, against counters."""
+    words = ["b", "a", "d", "é"]
+    known = KnownWords(words, words_of, toxicity.parts_of)
+    texts = ["a b A x", "É é é", "x y", "", None, "d"]
+    for text in texts:
+        want = Counter(re.findall(r"\w+", (text or "").lower()))
+        assert known.counts(text) == {i: want[w] for i, w in enumerate(words) if w in want}
+    n, df = document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"), known)
+    assert n == 6 and df.tolist() == [1, 1, 1, 1]
+
+
 def test_quality_scores_against_brute_force(labelled):
     """Weights, projection, cosines, votes and calibration of some texts, worked out one by one."""
     docs, labels = labelled

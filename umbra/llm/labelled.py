@@ -126,16 +126,19 @@ class KnownWords(KnownTerms):
         """Numbers and counts of a text's terms, by number."""
         words = self.tokens(text) if text else []
         ids = np.fromiter(map(self.ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        found, n = np.unique(ids, return_counts=True)
-        lo = int(len(found) > 0 and found[0] < 0)
-        return found[lo:], n[lo:]
+        ids.sort()
+        ids = ids[np.searchsorted(ids, 0) :]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+        return ids[first], np.diff(first, append=len(ids))
 
     def counts(self, text: str | None) -> dict[int, int]:
         ids, n = self.arrays(text)
         return dict(zip(ids.tolist(), n.tolist(), strict=True))
 
     def present(self, text: str | None) -> np.ndarray:
-        return self.arrays(text)[0]
+        """Without an order; -1 if there are words that are no terms."""
+        words = set(self.tokens(text)) if text else ()
+        return np.fromiter(map(self.ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
 
 class _Kept(dict):
@@ -162,12 +165,12 @@ def document_frequencies(docs: DataFrame, known: KnownTerms) -> tuple[int, np.nd
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = shared.value
-        total, seen = 0, np.zeros(len(terms.ids), dtype=np.int64)
+        total, seen = 0, np.zeros(len(terms.ids) + 1, dtype=np.int64)  # the last is for words that are no terms
         for batch in batches:
             for text in batch["text"]:
                 total += 1
                 seen[terms.present(text)] += 1
-        held = np.flatnonzero(seen)
+        held = np.flatnonzero(seen[:-1])
         yield pd.DataFrame({"t": np.append(held, -1), "n": np.append(seen[held], total)})
 
     rows = docs.select("text").mapInPandas(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()

@@ -24,10 +24,10 @@ BLOCK, LONG_LISTS = 64, 512
 FIRST_BLOCKS = 8
 #: Parts that the examples are split into for calibration.
 FOLDS = 4
-#: Texts that are searched for at once.
-QUERIES = 256
-#: What single precision may add to a cosine; nearer calls are made in double precision.
-SLACK = 1e-5
+#: Texts that are searched for at once, and those whose blocks are opened at once.
+QUERIES, PART = 256, 32
+#: More than rounding may add to a cosine.
+SLACK = 1e-9
 
 
 def parts_of(word: str) -> list[str]:
@@ -40,12 +40,10 @@ def terms_of(text: str | None) -> Counter:
     return Counter(words_of(text))
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of some ranges, one range after another, and the range that each belongs to."""
-    sizes = (ends - starts).astype(np.int32)
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    shift = (starts - np.cumsum(sizes) + sizes).astype(np.int32)
-    return np.arange(len(owner), dtype=np.int32) + shift[owner], owner
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of some ranges, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Vectors:
@@ -72,7 +70,7 @@ class BlockMaxIndex:
     The longest lists are rows of a matrix, so what they add to each cosine comes from one product. The
     other words' block maxima are added to the best of that in each block, which bounds every cosine
     there. The blocks of the largest bounds are opened, then all others that can reach the k-th best of these.
-    Those within single precision of the k-th best are compared in double precision: the result is exact.
+    All of it is in double precision, and blocks are left out by more than its rounding: the result is exact.
     """
 
     def __init__(self, vectors: Vectors, n_terms: int, block: int = BLOCK, long_lists: int = LONG_LISTS) -> None:
@@ -85,59 +83,67 @@ class BlockMaxIndex:
         self.place[common] = np.arange(len(common))
         owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(vectors.ptr))
         long = self.place[vectors.ids] >= 0
-        self.matrix = np.zeros((len(common), self.n_blocks * block), dtype=np.float32)
+        self.matrix = np.zeros((len(common), self.n_blocks * block))
         self.matrix[self.place[vectors.ids[long]], owner[long]] = vectors.weights[long]
         ids, owner, weights = vectors.ids[~long], owner[~long], vectors.weights[~long]
         order = np.lexsort((owner, ids))
-        ids, self.owner, self.weights = ids[order], owner[order], weights[order].astype(np.float32)
+        ids, self.owner, self.weights = ids[order], owner[order], weights[order]
         # one entry for each word and block it stands in
         key = ids.astype(np.int64) * max(1, self.n_blocks) + self.owner // block
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
-        self.starts, self.ends = first, np.r_[first[1:], len(key)] if len(first) else first
+        self.starts, self.sizes = first, np.diff(np.r_[first, len(key)])
         self.blocks = (self.owner[first] // block).astype(np.int32)
-        self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0, dtype=np.float32)
+        self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
         self.entries = np.searchsorted(ids[first], np.arange(n_terms + 1))
 
     def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the numbers and cosines of the k nearest examples with a cosine over 0, nearest first, ties to the smaller number."""
         if not self.n or not queries:
             return [(np.empty(0, dtype=np.int64), np.empty(0))] * len(queries)
-        rows, blocks, width = len(queries), self.n_blocks, self.n_blocks * self.block
+        rows = len(queries)
         ids, weights = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
         of = np.repeat(np.arange(rows), [len(q[0]) for q in queries])
         place = self.place[ids]
-        dense = np.zeros((rows, len(self.matrix)), dtype=np.float32)
-        dense[of[place >= 0], place[place >= 0]] = weights[place >= 0]
-        scores = (dense @ self.matrix).astype(float)
-        rare, row, factor = ids[place < 0], of[place < 0], weights[place < 0]
-        entry, which = _ranges(self.entries[rare], self.entries[rare + 1])
-        row, factor = row[which], factor[which]
+        long = place >= 0
+        dense = np.zeros((rows, len(self.matrix)))
+        dense[of[long], place[long]] = weights[long]
+        scores = dense @ self.matrix
+        rare, row, factor = ids[~long], of[~long], weights[~long]
+        least, parts = np.zeros((rows, 1)), range(0, rows, PART)
+        for lo, (start, end) in zip(parts, np.searchsorted(row, [(lo, lo + PART) for lo in parts]), strict=True):
+            least[lo : lo + PART] = self._open(scores[lo : lo + PART], rare[start:end], row[start:end] - lo, factor[start:end], k)
+        at, near = np.divmod(np.flatnonzero(scores.ravel() >= np.repeat(np.maximum(least - SLACK, np.nextafter(0, 1)), scores.shape[1])), scores.shape[1])
+        cosines = scores[at, near]
+        order = np.lexsort((near, -np.round(cosines, 12), at))
+        firsts = np.searchsorted(at, np.arange(rows + 1))
+        order = order[np.arange(len(at)) - firsts[at] < k]  # ``at`` is in order before and after
+        near, cosines = near[order], np.minimum(cosines[order], 1.0)
+        ends = np.cumsum(np.minimum(np.diff(firsts), k))[:-1]
+        return list(zip(np.split(near, ends), np.split(cosines, ends), strict=True))
+
+    def _open(self, scores: np.ndarray, rare: np.ndarray, row: np.ndarray, factor: np.ndarray, k: int) -> np.ndarray:
+        """Add the other words to the scores of all blocks that may matter; gives a cosine that each text's k-th best reaches."""
+        rows, width, blocks = *scores.shape, self.n_blocks
+        n = self.entries[rare + 1] - self.entries[rare]
+        entry, row, factor = _ranges(self.entries[rare], n), np.repeat(row, n), np.repeat(factor, n)
         cell = row * blocks + self.blocks[entry]
         bounds = np.bincount(cell, factor * self.maxima[entry], minlength=rows * blocks).astype(float).reshape(rows, blocks)
-        bounds += scores.reshape(rows, blocks, self.block).max(2) + SLACK
-        mark = np.sort(bounds, axis=1)[:, -min(FIRST_BLOCKS, blocks), None]  # the best bounds' blocks are opened first
+        inside = scores.reshape(rows, blocks, self.block)
+        bounds += inside.max(2) + SLACK
+        best = np.argpartition(-bounds, min(FIRST_BLOCKS, blocks) - 1, axis=1)[:, :FIRST_BLOCKS]  # the best bounds' blocks are opened first
         opened, least = np.zeros((rows, blocks), dtype=bool), np.zeros((rows, 1))
-        for chosen in (lambda: bounds >= mark, lambda: ~opened):
-            fresh = chosen() & (bounds > np.maximum(least - SLACK, SLACK))
-            opened |= fresh
-            inside = np.flatnonzero(fresh.ravel()[cell])
-            posting, which = _ranges(self.starts[entry[inside]], self.ends[entry[inside]])
-            inside = inside[which]
-            scores += np.bincount(row[inside] * width + self.owner[posting], factor[inside] * self.weights[posting], minlength=rows * width).reshape(rows, width)
-            seen = np.where(np.repeat(opened, self.block, axis=1), scores, 0.0)
-            if width >= k:
-                least = np.partition(seen, -k, axis=1)[:, -k, None]
-        at, near = np.nonzero((seen >= np.maximum(least - 2 * SLACK, 0.0)) & (seen > 0))
-        full, out = np.zeros(self.n_terms), []
-        for query, mine in zip(queries, np.split(near, np.searchsorted(at, np.arange(1, rows))), strict=True):
-            full[query[0]] = query[1]
-            where, whose = _ranges(self.vectors.ptr[mine], self.vectors.ptr[mine + 1])
-            exact = np.bincount(whose, full[self.vectors.ids[where]] * self.vectors.weights[where], minlength=len(mine))
-            full[query[0]] = 0.0
-            best = np.lexsort((mine, -np.round(exact, 12)))[:k]
-            best = best[exact[best] > 0]
-            out.append((mine[best], np.minimum(exact[best], 1.0)))
-        return out
+        np.put_along_axis(opened, best, True, axis=1)
+        for again in (False, True):
+            if again and best.shape[1] * self.block >= k:
+                least = np.partition(inside[np.arange(rows)[:, None], best].reshape(rows, -1), -k, axis=1)[:, -k, None]
+            fresh = ~opened & (bounds > np.maximum(least - SLACK, SLACK)) if again else opened
+            chosen = np.flatnonzero(fresh.ravel()[cell])
+            mine = entry[chosen]
+            sizes = self.sizes[mine]
+            posting = _ranges(self.starts[mine], sizes)
+            target = np.repeat(row[chosen] * width, sizes) + self.owner[posting]
+            scores += np.bincount(target, np.repeat(factor[chosen], sizes) * self.weights[posting], minlength=rows * width).reshape(rows, width)
+        return least
 
 
 class ToxicityModel:
@@ -201,24 +207,28 @@ class ToxicityModel:
 
     def votes(self, index: BlockMaxIndex, queries: list, of: np.ndarray) -> np.ndarray:
         found = [f for i in range(0, len(queries), QUERIES) for f in index.nearest_many(queries[i : i + QUERIES], self.k)]
-        return np.array([self._vote(of[ids], cosines) for ids, cosines in found])
-
-    def _vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of class 1 among the neighbours; one at distance 1 - cosine counts as cosine / (0.05 + distance)."""
-        if not len(ids):
-            return np.nan
+        return self._votes([(of[ids], cosines) for ids, cosines in found])
+
+    def _votes(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Share of class 1 among the neighbours of each text; one at distance 1 - cosine counts as cosine / (0.05 + distance)."""
+        if not found:
+            return np.empty(0)
+        of = np.repeat(np.arange(len(found)), [len(ids) for ids, _ in found])
+        ids, cosines = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         y = self.y[ids]
         w = cosines / (0.05 + 1 - cosines) * self.w[y.astype(int)]
-        return float((w * y).sum() / w.sum()) if w.sum() else np.nan
+        total, toxic = (np.bincount(of, x, minlength=len(found)) for x in (w, w * y))
+        return np.divide(toxic, total, out=np.full(len(found), np.nan), where=total > 0)
 
     def score(self, texts: list[str | None]) -> Iterator[tuple[float, list[float], list[int], list[str], list[str]]]:
         """Probability, the five nearest neighbours' cosines, labels and ids, and the five strongest words, of each text."""
         queries = [self.unit(*self.raw(*self.known.arrays(text)), self.tie) for text in texts]
-        for (ids, cosines), (words, weights) in zip(self.index.nearest_many(queries, self.k), queries, strict=True):
-            vote = self._vote(ids, cosines)
-            p = self.none if np.isnan(vote) else float(calibrated(np.array([vote]), self.steps)[0])
-            strongest = words[np.argsort(-weights, kind="stable")[:5]]
-            yield min(1.0, max(0.0, p)), [float(c) for c in cosines[:5]], [int(self.y[i]) for i in ids[:5]], [self.ids[i] for i in ids[:5]], [self.terms[t] for t in strongest]
+        found = self.index.nearest_many(queries, self.k)
+        votes = self._votes(found)
+        scores = np.clip(np.where(np.isnan(votes), self.none, calibrated(votes, self.steps)), 0.0, 1.0)
+        for p, (ids, cosines), (words, weights) in zip(scores.tolist(), found, queries, strict=True):
+            strongest, ids = words[np.argsort(-weights, kind="stable")[:5]].tolist(), ids[:5].tolist()
+            yield p, cosines[:5].tolist(), [int(self.y[i]) for i in ids], [self.ids[i] for i in ids], [self.terms[t] for t in strongest]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, label: str = "toxic") -> ToxicityModel:
